@@ -54,7 +54,7 @@ def canonical(df: DataFrame, spec: str) -> DataFrame:
         "s": lambda c: c.cast("string"), "d": lambda c: F.date_format(c, "yyyy-MM-dd"),
         "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "i": lambda c: c.cast("bigint"),
         "b": lambda c: c.cast("boolean"), "f": lambda c: F.round(c.cast("double"), 6),
-        "m": lambda c: F.round(c.cast("double"), 2),
+        "g": lambda c: F.round(c.cast("double"), 9), "m": lambda c: F.round(c.cast("double"), 3),
     }
     return df.select(*[casts[kind](F.col(name)).alias(name) for name, kind in O.columns_of(spec)])
 
@@ -147,6 +147,14 @@ def sweep_report(spark, d):
     return stored(spark, d, "sweep", lambda s, p: S.candidate_sweep(predictions(s, p), flagged(s, p)))
 
 
+WIDE_GRID = tuple(S.Candidate(c.max_weight, c.target_exposure, top_pct=0.5) for c in S.DEFAULT_GRID)
+
+
+def wide_report(spark, d):
+    """A sweep over half of each cross-section, in which no two candidates come out alike."""
+    return stored(spark, d, "wide", lambda s, p: S.candidate_sweep(predictions(s, p), flagged(s, p), WIDE_GRID))
+
+
 def written(spark, name: str) -> str:
     return scratch_path(spark, name)
 
@@ -539,10 +547,10 @@ def apply_score_status(spark, d):
 @entry(f"o_orderkey:i {SCORE_SPEC} failed:b", "SELECT o_orderkey, " + ", ".join(
     f"CASE WHEN ok THEN greatest({-1 if c in N.SIGNED_SCORES else 0}::DOUBLE, least(1::DOUBLE, x + {i}::DOUBLE)) END AS {c}"
     for i, c in enumerate(SCORES)
-) + ", NOT ok AS failed FROM (SELECT o_orderkey, o_totalprice / 100000.0::DOUBLE - 2 AS x, o_orderkey % 5 NOT IN (0, 1, 2) AS ok FROM orders)")
+) + ", NOT ok AS failed FROM (SELECT o_orderkey, o_totalprice / 99991.0::DOUBLE - 2 AS x, o_orderkey % 5 NOT IN (0, 1, 2) AS ok FROM orders)")
 def parse_scored_responses(spark, d):
     """Responses built from orders; every fifth is malformed, one more lacks a score, one more has a word for one."""
-    key, x = F.col("o_orderkey"), F.col("o_totalprice") / 100000.0 - 2
+    key, x = F.col("o_orderkey"), F.col("o_totalprice") / 99991.0 - 2
     numbers = [(x + i).alias(name) for i, name in enumerate(SCORES)]
     word = [*numbers[:-1], F.lit("high").alias(SCORES[-1])]
     content = (
@@ -554,7 +562,7 @@ def parse_scored_responses(spark, d):
     return N.parse_scored_responses(landed).withColumn("failed", F.col("error_message").isNotNull())
 
 
-RAW_NEWS_SPEC = "date:d ticker:s " + " ".join(f"{c}:f" for c in NEWS_FACTORS[:6]) + " news_coverage:i"
+RAW_NEWS_SPEC = "date:d ticker:s " + " ".join(f"{c}:g" for c in NEWS_FACTORS[:6]) + " news_coverage:i"
 
 
 @entry(RAW_NEWS_SPEC, "SELECT * FROM news_raw_t")
@@ -562,7 +570,7 @@ def aggregate_news_raw(spark, d):
     return N.aggregate_news_raw(scores(spark, d))
 
 
-@entry(RAW_NEWS_SPEC + " news_ai_score:f", "SELECT * FROM news_f_t")
+@entry(RAW_NEWS_SPEC + " news_ai_score:g", "SELECT * FROM news_f_t")
 def news_ai_score(spark, d):
     return N.news_ai_score(N.aggregate_news_raw(scores(spark, d)))
 
@@ -632,7 +640,7 @@ def choose_panel(spark, d):
 # ---- factors ------------------------------------------------------------------------------------------------------
 
 def _factor_entry(name: str, columns: list[str], table: str = "trad_t", read=traditional) -> None:
-    spec = "date:d ticker:s " + " ".join(f"{c}:f" for c in columns)
+    spec = "date:d ticker:s " + " ".join(f"{c}:{'g' if c in NEWS_FACTORS else 'f'}" for c in columns)
     entry(spec, f"SELECT * FROM {table}", name)(read)
 
 
@@ -670,8 +678,8 @@ def factor_coverage(spark, d):
     return Fa.factor_coverage(factors(spark, d), 0.9)
 
 
-@entry("left:s right:s correlation:f", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS left, '{b}' AS right, {O.corr_sql(a, b)} AS correlation FROM factor_t"
+@entry("left_factor:s right_factor:s correlation:f", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS left_factor, '{b}' AS right_factor, {O.corr_sql(a, b)} AS correlation FROM factor_t"
     for i, a in enumerate(O.FACTORS) for b in O.FACTORS[i + 1:]) + ") WHERE abs(correlation) > 0.5")
 def factor_correlation_pairs(spark, d):
     return Fa.factor_correlation_pairs(factors(spark, d), 0.5)
@@ -745,16 +753,18 @@ def evaluate(spark, d):
 
 @entry("horizon:i feature:s mean_ic:f mean_rank_ic:f ic_ir:f positive_rank_ic_rate:f observations:i", f"""
 SELECT horizon, feature, avg(ic) AS mean_ic, avg(ric) AS mean_rank_ic, avg(ric) / nullif(stddev_samp(ric), 0) AS ic_ir,
-       avg((ric > 0)::INT) AS positive_rank_ic_rate, count(*) AS observations FROM (
+       avg((ric > 1e-12)::INT) AS positive_rank_ic_rate, count(*) AS observations FROM (
   SELECT horizon, feature, date, {O.corr_sql('x', 'y')} AS ic, {O.corr_sql('rx', 'ry')} AS ric FROM (
     SELECT *, rank() OVER (PARTITION BY horizon, feature, date ORDER BY x) + (count(*) OVER (PARTITION BY horizon, feature, date, x) - 1) / 2.0::DOUBLE AS rx,
            rank() OVER (PARTITION BY horizon, feature, date ORDER BY y) + (count(*) OVER (PARTITION BY horizon, feature, date, y) - 1) / 2.0::DOUBLE AS ry
     FROM ({' UNION ALL '.join(
-        f"SELECT {h} AS horizon, '{f}' AS feature, date, {f} AS x, future_excess_return_{h}d AS y FROM features_t WHERE {f} IS NOT NULL AND future_excess_return_{h}d IS NOT NULL"
+        f"SELECT {h} AS horizon, '{f}' AS feature, date, round({f}, 9) AS x, future_excess_return_{h}d AS y FROM features_t WHERE {f} IS NOT NULL AND future_excess_return_{h}d IS NOT NULL"
         for h in HORIZONS for f in FEATURES)}))
   GROUP BY 1, 2, 3 HAVING count(*) >= 10) GROUP BY 1, 2""")
 def factor_ic_report(spark, d):
-    return M.factor_ic_report(features(spark, d))
+    """Features are rounded first: equal news scores may differ in the last bit, in either engine, and rank apart."""
+    rounded = {c: F.round(c, 9) for c in FEATURES}
+    return M.factor_ic_report(features(spark, d).withColumns(rounded))
 
 
 OOS_SQL = f"""
@@ -931,12 +941,6 @@ def score_weights(spark, d):
     return raw_weights(spark, d)
 
 
-O.CTES["half_t"] = """
-SELECT *, rn <= greatest(1, floor(n * 0.5::DOUBLE)) AS selected FROM (
-  SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred DESC, ticker) AS rn, count(*) OVER (PARTITION BY date) AS n FROM predictions_t)"""
-O.portfolio_ctes("hf", "single_t", "half_t")
-
-
 @entry("date:d ticker:s weight:f", "SELECT date, ticker, w AS weight FROM hf_f1_w")
 def cap_weights(spark, d):
     return P.cap_weights(wide_raw_weights(spark, d), cap=0.05, exposure=1.0)
@@ -1084,13 +1088,13 @@ def candidate_sweep(spark, d):
 
 @entry(SWEEP_SPEC, "SELECT * FROM best_t")
 def choose_candidate(spark, d):
-    return S.choose_candidate(sweep_report(spark, d))
+    return S.choose_candidate(wide_report(spark, d))
 
 
 @entry("segment:s " + METRIC_SPEC, """
 SELECT 'full' AS segment, * FROM fu_met UNION ALL SELECT 'final_holdout', * FROM ho_met""")
 def holdout_evaluation(spark, d):
-    best = S.candidate_from_row(S.choose_candidate(sweep_report(spark, d)).first())
+    best = S.candidate_from_row(S.choose_candidate(wide_report(spark, d)).first())
     return S.holdout_evaluation(predictions(spark, d), flagged(spark, d), best)
 
 
@@ -1129,20 +1133,20 @@ def liquidity_report(spark, d):
 
 
 @entry(SWEEP_SPEC, """
-SELECT * FROM sweep_t WHERE feasible OR NOT (SELECT max(feasible) FROM sweep_t)
+SELECT * FROM wide_sweep_t WHERE feasible OR NOT (SELECT max(feasible) FROM wide_sweep_t)
 ORDER BY sharpe DESC, total_return DESC, candidate_id LIMIT 5""")
 def parameter_sensitivity(spark, d):
-    return A.parameter_sensitivity(sweep_report(spark, d))
+    return A.parameter_sensitivity(wide_report(spark, d))
 
 
-@entry("window:i start_date:d end_date:d strategy_return:f benchmark_return:f excess_return:f max_drawdown:f avg_turnover:f", """
+@entry("window_days:i start_date:d end_date:d strategy_return:f benchmark_return:f excess_return:f max_drawdown:f avg_turnover:f", """
 SELECT *, strategy_return - benchmark_return AS excess_return FROM (
-  SELECT win AS window, min(date) AS start_date, max(date) AS end_date,
+  SELECT win AS window_days, min(date) AS start_date, max(date) AS end_date,
          arg_max(portfolio_value, date) / arg_min(portfolio_value, date) - 1 AS strategy_return,
          arg_max(benchmark_value, date) / arg_min(benchmark_value, date) - 1 AS benchmark_return,
          min(drawdown) AS max_drawdown, avg(turnover) AS avg_turnover, count(*) AS c
   FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS b FROM bt_acc), (SELECT unnest([21, 42, 63, 126]) AS win)
-  WHERE b <= win GROUP BY win) WHERE c = "window\"""")
+  WHERE b <= win GROUP BY win) WHERE c = window_days""")
 def multi_window(spark, d):
     return A.multi_window(backtest(spark, d).results)
 

@@ -1,7 +1,8 @@
 """DuckDB statements that state each operator's result independently of the Spark code.
 
 `CTES` holds named sub-queries; `statement` collects the ones a body needs. Output columns are described by a short
-spec shared with the Spark side: s text, d date, t time, i integer, b boolean, f number (6 digits), m money (2 digits).
+spec shared with the Spark side: s text, d date, t time, i integer, b boolean, f number (6 digits), g number (9 digits,
+where a 6-digit rounding would often be a tie), m money (3 digits).
 """
 
 from __future__ import annotations
@@ -381,26 +382,41 @@ CTES["tune_t"] = "SELECT p.* FROM predictions_t p JOIN pdays_t USING (date) WHER
 CTES["tune_ranked_t"] = "SELECT r.* FROM ranked_t r JOIN pdays_t USING (date) WHERE tuning"
 portfolio_ctes("sw", "grid_t", "tune_ranked_t")
 backtest_ctes("sw", "tune_t", "predictions_t")
-CTES["sweep_t"] = """
+
+
+def sweep_sql(metrics: str) -> str:
+    return f"""
 SELECT g.candidate_id, g.cap AS max_weight, g.exposure AS target_exposure, m.total_return, m.benchmark_return,
        m.excess_return, m.cagr, m.sharpe, m.max_drawdown, m.avg_turnover, m.max_drawdown >= -0.1 AS feasible
-FROM grid_t g JOIN sw_met m USING (candidate_id)"""
+FROM grid_t g JOIN {metrics} m USING (candidate_id)"""
+
+
+CTES["sweep_t"] = sweep_sql("sw_met")
+# Half of each cross-section: enough names for every exposure of the grid to be reached, so no two candidates tie.
+CTES["half_t"] = """
+SELECT *, rn <= greatest(1, floor(n * 0.5::DOUBLE)) AS selected FROM (
+  SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred DESC, ticker) AS rn, count(*) OVER (PARTITION BY date) AS n FROM predictions_t)"""
+portfolio_ctes("hf", "single_t", "half_t")
+CTES["tune_half_t"] = "SELECT r.* FROM half_t r JOIN pdays_t USING (date) WHERE tuning"
+portfolio_ctes("sx", "grid_t", "tune_half_t")
+backtest_ctes("sx", "tune_t", "predictions_t")
+CTES["wide_sweep_t"] = sweep_sql("sx_met")
 CTES["best_t"] = """
-SELECT * FROM sweep_t WHERE sharpe IS NOT NULL ORDER BY feasible DESC,
+SELECT * FROM wide_sweep_t WHERE sharpe IS NOT NULL ORDER BY feasible DESC,
   CASE WHEN feasible THEN sharpe ELSE -(abs(max_drawdown) - 0.1) END DESC,
   CASE WHEN feasible THEN total_return ELSE sharpe END DESC, candidate_id LIMIT 1"""
 CTES["best_grid_t"] = "SELECT candidate_id, max_weight AS cap, target_exposure AS exposure FROM best_t"
 CTES["hold_t"] = "SELECT p.* FROM predictions_t p JOIN pdays_t USING (date) WHERE NOT tuning"
-CTES["hold_ranked_t"] = "SELECT r.* FROM ranked_t r JOIN pdays_t USING (date) WHERE NOT tuning"
-portfolio_ctes("fu", "best_grid_t", "ranked_t")
+CTES["hold_half_t"] = "SELECT r.* FROM half_t r JOIN pdays_t USING (date) WHERE NOT tuning"
+portfolio_ctes("fu", "best_grid_t", "half_t")
 backtest_ctes("fu", "predictions_t", "fu_pos")
-portfolio_ctes("ho", "best_grid_t", "hold_ranked_t")
+portfolio_ctes("ho", "best_grid_t", "hold_half_t")
 backtest_ctes("ho", "hold_t", "ho_pos")
 
 _CASTS = {
     "s": "CAST({c} AS VARCHAR)", "d": "strftime({c}, '%Y-%m-%d')", "t": "strftime({c}, '%Y-%m-%d %H:%M:%S')",
     "i": "CAST({c} AS BIGINT)", "b": "CAST({c} AS BOOLEAN)", "f": "round(CAST({c} AS DOUBLE), 6) + 0.0::DOUBLE",
-    "m": "round(CAST({c} AS DOUBLE), 2) + 0.0::DOUBLE",
+    "g": "round(CAST({c} AS DOUBLE), 9) + 0.0::DOUBLE", "m": "round(CAST({c} AS DOUBLE), 3) + 0.0::DOUBLE",
 }
 
 

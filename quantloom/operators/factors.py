@@ -166,7 +166,7 @@ def factor_correlation_pairs(factors: DataFrame, above: float = 0.95) -> DataFra
     """
     values = factors.select(*[F.col(c).cast("double") for c in ALL_FACTORS])
     shifts = [value or 0.0 for value in values.agg(*[F.avg(c) for c in ALL_FACTORS]).first()]
-    moments = values.mapInPandas(partial(_pair_moments, shifts=shifts), _PAIR_MOMENTS).groupBy("left", "right").agg(
+    moments = values.mapInPandas(partial(_pair_moments, shifts=shifts), _PAIR_MOMENTS).groupBy("left_factor", "right_factor").agg(
         *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")],
         *[F.min(c).alias(c) for c in ("x_min", "y_min")], *[F.max(c).alias(c) for c in ("x_max", "y_max")],
     )
@@ -176,11 +176,11 @@ def factor_correlation_pairs(factors: DataFrame, above: float = 0.95) -> DataFra
     spread_y = F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n)
     usable = (n >= 3) & (F.col("x_min") < F.col("x_max")) & (F.col("y_min") < F.col("y_max"))
     correlation = F.when(usable, F.try_divide(covariance, F.sqrt(spread_x) * F.sqrt(spread_y)))
-    return moments.select("left", "right", correlation.alias("correlation")).where(F.abs("correlation") > above)
+    return moments.select("left_factor", "right_factor", correlation.alias("correlation")).where(F.abs("correlation") > above)
 
 
 _PAIR_MOMENTS = (
-    "left string, right string, n bigint, x double, y double, xx double, yy double, xy double, "
+    "left_factor string, right_factor string, n bigint, x double, y double, xx double, yy double, xy double, "
     "x_min double, x_max double, y_min double, y_max double"
 )
 
@@ -200,7 +200,7 @@ def _pair_moments(batches: Iterator[pd.DataFrame], shifts: list[float]) -> Itera
             for edge, stand_in in ((np.min, np.inf), (np.max, -np.inf))
         )
         yield pd.DataFrame({
-            "left": names[left], "right": names[right], "n": both[left, right].astype(int),
+            "left_factor": names[left], "right_factor": names[right], "n": both[left, right].astype(int),
             "x": sums[left, right], "y": sums[right, left],
             "xx": squares[left, right], "yy": squares[right, left], "xy": products[left, right],
             "x_min": low[left, right], "x_max": high[left, right],
