@@ -126,7 +126,9 @@ def winsorized_zscore(
     A group with fewer than two values, or a constant one, scores 0 on every row; otherwise NULL stays NULL. Read
     passes: quantiles, then moments of the clipped values, then scores. Per-group results are tiny and joined back.
     """
-    tails = materialize(group_quantiles(df, [by], columns, TAILS, max_rows, largest), "tails")
+    tails = materialize(
+        group_quantiles(df, [by], columns, TAILS, max_rows=max_rows, largest=largest), "tails"
+    )
 
     def clipped(c: str) -> str:
         return f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, q_{c}[0]), q_{c}[1]) END"

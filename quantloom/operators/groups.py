@@ -19,6 +19,7 @@ from ..session import materialize
 
 SLICE_ROWS = 2_000_000
 EXACT_QUANTILE_ROWS = 100_000
+BRACKET_SAMPLE = 20_000
 SAMPLES_PER_SLICE = 16
 SALTS = 64
 
@@ -145,64 +146,68 @@ def group_quantiles(
     by: Sequence[str],
     columns: Sequence[str],
     probabilities: Sequence[float],
+    row_key: Sequence[str] = ("ticker",),
     max_rows: int = EXACT_QUANTILE_ROWS,
     largest: int | None = None,
-    slack: float = 3e-4,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles: `n_<column>` and the array `q_<column>` for each group."""
+    """Exact linearly interpolated quantiles: `n_<column>` and the array `q_<column>` for each group.
+
+    Groups of up to `max_rows` rows use the built-in aggregate, which holds a group's distinct values. In larger ones
+    a sample of fixed size brackets each quantile; rows outside a bracket are only counted.
+    """
     largest = largest_group(df, by) if largest is None else largest
     counts = [F.count(c).alias(f"n_{c}") for c in columns]
+    levels = F.array(*[F.lit(float(p)) for p in probabilities])
+    exact = [F.percentile(c, levels).alias(f"q_{c}") for c in columns]
     if largest <= max_rows:
-        levels = F.array(*[F.lit(float(p)) for p in probabilities])
-        return df.groupBy(*by).agg(*counts, *[F.percentile(c, levels).alias(f"q_{c}") for c in columns])
-
-    df = materialize(df.select(*by, *columns), "quantiles")
-    while True:
-        found = _bracketed_quantiles(df, by, columns, probabilities, counts, slack)
+        return df.groupBy(*by).agg(*counts, *exact)
+
+    df = materialize(df.select(*dict.fromkeys([*by, *row_key, *columns])), "quantiles")
+    sizes = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *counts), "sizes")
+    sized = join_groups(df, sizes.select(*by, "_rows"), by)
+    parts = [sized.where(F.col("_rows") <= max_rows).groupBy(*by).agg(*counts, *exact)]
+    pending, sample = sizes.where(F.col("_rows") > max_rows), BRACKET_SAMPLE
+    while not pending.isEmpty():
+        found = _bracketed_quantiles(df, pending, by, columns, probabilities, row_key, sample)
         missed = reduce(lambda a, b: a | b, [
-            (F.col(f"n_{c}") > 0) & F.exists(f"q_{c}", lambda q: q.isNull()) for c in columns
+            (F.col(f"n_{c}") > 0) & (F.col(f"q_{c}").isNull() | F.exists(f"q_{c}", lambda q: q.isNull())) for c in columns
         ])
-        if slack >= 1.0 or found.where(missed).isEmpty():
-            return found
-        slack = min(1.0, slack * 100)
+        parts.append(found.where(~missed).drop("_rows"))
+        # A bracket misses about once in a million; a group that missed is tried again with a larger sample.
+        pending, sample = materialize(found.where(missed).select(*sizes.columns), "pending"), sample * 8
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _bracketed_quantiles(df, by, columns, probabilities, counts, slack) -> DataFrame:
-    """A sketch brackets each order statistic; only rows inside a bracket, about 2 * slack of all, are sorted.
+def _bracketed_quantiles(df, sizes, by, columns, probabilities, row_key, sample) -> DataFrame:
+    """Bracket each order statistic by sample quantiles five standard errors apart, then sort only what is inside.
 
-    Rows below a bracket are merely counted, and equal values are merged before the shuffle.
+    Rows below a bracket are counted, and equal values are merged before the shuffle. A sample of at least the group
+    size is the whole group, so the bracket is then sure to hit.
     """
-    accuracy = F.lit(max(10_000, int(4 / slack)))
-
-    def bracket(c: str) -> Column:
-        ends = [p for q in probabilities for p in (max(0.0, q - slack), min(1.0, q + slack))]
-        return F.percentile_approx(c, F.array(*[F.lit(e) for e in ends]), accuracy).alias(f"b_{c}")
-
-    sketch = materialize(df.groupBy(*by).agg(*counts, *[bracket(c) for c in columns]), "sketch")
-    rows = join_groups(df, sketch.select(*by, *[f"b_{c}" for c in columns]), by)
+    chance = F.col("_rate")
+    rates = sizes.select(*by, F.least(F.lit(1.0), F.lit(float(sample)) / F.col("_rows")).alias("_rate"))
+    sampled = join_groups(df, rates, by).where(F.pmod(F.xxhash64(*row_key), F.lit(1_000_003)) < chance * 1_000_003)
+    margins = [5.0 * (p * (1.0 - p) / sample) ** 0.5 + 2.0 / sample for p in probabilities]
+    ends = [end for p, m in zip(probabilities, margins) for end in (max(0.0, p - m), min(1.0, p + m))]
+    edges = F.array(*[F.lit(end) for end in ends])
+    brackets = materialize(sampled.groupBy(*by).agg(*[F.percentile(c, edges).alias(f"b_{c}") for c in columns]), "brackets")
+    rows = join_groups(df, brackets, by)
 
     slots = [(i, j, c) for i, c in enumerate(columns) for j in range(len(probabilities))]
-    low = {(i, j): F.col(f"b_{c}")[2 * j] for i, j, c in slots}
-    high = {(i, j): F.col(f"b_{c}")[2 * j + 1] for i, j, c in slots}
-    below = rows.groupBy(*by).agg(*[
-        F.count_if(F.col(c) < low[i, j]).alias(f"below_{i}_{j}") for i, j, c in slots
-    ])
-    candidates = F.array(*[
-        F.when(F.col(c).between(low[i, j], high[i, j]),
-               F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(c).alias("_v")))
+    # An end at 0 or 1 is open: the sample's extreme is not the group's.
+    low = {(i, j): f"b_{c}[{2 * j}]" if ends[2 * j] > 0 else "double('-Infinity')" for i, j, c in slots}
+    high = {(i, j): f"b_{c}[{2 * j + 1}]" if ends[2 * j + 1] < 1 else "double('Infinity')" for i, j, c in slots}
+    below = rows.groupBy(*by).agg(*[F.expr(f"count_if({c} < {low[i, j]}) AS below_{i}_{j}") for i, j, c in slots])
+    inside = rows.select(*by, F.expr("inline(array_compact(array(" + ", ".join(
+        f"CASE WHEN {c} >= {low[i, j]} AND {c} <= {high[i, j]} THEN named_struct('_i', {i}, '_j', {j}, '_v', {c}) END"
         for i, j, c in slots
-    ])
-    inside = (
-        rows.select(*by, F.inline(F.filter(candidates, lambda s: s.isNotNull())))
-        .groupBy(*by, "_i", "_j", "_v").agg(F.count(F.lit(1)).alias("_copies"))
-    )
+    ) + ")))")).groupBy(*by, "_i", "_j", "_v").agg(F.count(F.lit(1)).alias("_copies"))
 
-    slot_facts = F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"below_{i}_{j}").alias("_below"),
-                 ((F.col(f"n_{c}") - 1) * F.lit(float(probabilities[j]))).alias("_position"))
+    slot_facts = "inline(array(" + ", ".join(
+        f"named_struct('_i', {i}, '_j', {j}, '_below', below_{i}_{j}, '_position', (n_{c} - 1) * {float(probabilities[j])}D)"
         for i, j, c in slots
-    ])
-    facts = join_groups(below, sketch.drop(*[f"b_{c}" for c in columns]), by).select(*by, F.inline(slot_facts))
+    ) + "))"
+    facts = join_groups(below, sizes, by).select(*by, F.expr(slot_facts))
     ordered = Window.partitionBy(*by, "_i", "_j").orderBy("_v")
     last = F.col("_below") + F.sum("_copies").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     placed = join_groups(inside, facts, [*by, "_i", "_j"]).withColumn("_last", last)
@@ -221,5 +226,4 @@ def _bracketed_quantiles(df, by, columns, probabilities, counts, slack) -> DataF
         ]).alias(f"q_{c}")
         for i, c in enumerate(columns)
     ])
-    kept = sketch.drop(*[f"b_{c}" for c in columns])
-    return materialize(join_groups(kept, wide, by), "quantiles")
+    return materialize(join_groups(sizes, wide, by), "quantiles")
