@@ -166,37 +166,42 @@ def group_quantiles(
     sizes = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *counts), "sizes")
     sized = join_groups(df, sizes.select(*by, "_rows"), by)
     parts = [sized.where(F.col("_rows") <= max_rows).groupBy(*by).agg(*counts, *exact)]
-    pending, sample = sizes.where(F.col("_rows") > max_rows), BRACKET_SAMPLE
+    pending, sample, fewest = sizes.where(F.col("_rows") > max_rows), BRACKET_SAMPLE, {}
     while not pending.isEmpty():
-        found = _bracketed_quantiles(df, pending, by, columns, probabilities, row_key, sample)
+        found = _bracketed_quantiles(df, pending, by, columns, probabilities, row_key, sample, fewest)
         missed = reduce(lambda a, b: a | b, [
             (F.col(f"n_{c}") > 0) & (F.col(f"q_{c}").isNull() | F.exists(f"q_{c}", lambda q: q.isNull())) for c in columns
         ])
         parts.append(found.where(~missed).drop("_rows"))
-        # A bracket misses about once in a million; a group that missed is tried again with a larger sample.
+        # A bracket misses about once in a million, or where few values are known. Such a group is tried again with a
+        # larger sample, at last the whole group, and with a margin of two of its values, which then must hit.
         pending, sample = materialize(found.where(missed).select(*sizes.columns), "pending"), sample * 8
+        known = pending.agg(*[F.min(F.nullif(f"n_{c}", F.lit(0))).alias(c) for c in columns]).first()
+        fewest = {c: known[c] for c in columns if known[c]}
     return reduce(DataFrame.unionByName, parts)
 
 
-def _bracketed_quantiles(df, sizes, by, columns, probabilities, row_key, sample) -> DataFrame:
+def _bracketed_quantiles(df, sizes, by, columns, probabilities, row_key, sample, fewest) -> DataFrame:
     """Bracket each order statistic by sample quantiles five standard errors apart, then sort only what is inside.
 
-    Rows below a bracket are counted, and equal values are merged before the shuffle. A sample of at least the group
-    size is the whole group, so the bracket is then sure to hit.
+    Rows below a bracket are counted, and equal values are merged before the shuffle. `fewest` holds, for groups that
+    missed before, the smallest number of known values of each column.
     """
     chance = F.col("_rate")
     rates = sizes.select(*by, F.least(F.lit(1.0), F.lit(float(sample)) / F.col("_rows")).alias("_rate"))
     sampled = join_groups(df, rates, by).where(F.pmod(F.xxhash64(*row_key), F.lit(1_000_003)) < chance * 1_000_003)
-    margins = [5.0 * (p * (1.0 - p) / sample) ** 0.5 + 2.0 / sample for p in probabilities]
-    ends = [end for p, m in zip(probabilities, margins) for end in (max(0.0, p - m), min(1.0, p + m))]
-    edges = F.array(*[F.lit(end) for end in ends])
-    brackets = materialize(sampled.groupBy(*by).agg(*[F.percentile(c, edges).alias(f"b_{c}") for c in columns]), "brackets")
+    ends = {}
+    for c in columns:
+        margins = [5.0 * (p * (1.0 - p) / sample) ** 0.5 + 2.0 / min(sample, fewest.get(c, sample)) for p in probabilities]
+        ends[c] = [end for p, m in zip(probabilities, margins) for end in (max(0.0, p - m), min(1.0, p + m))]
+    edges = {c: F.percentile(c, F.array(*[F.lit(end) for end in ends[c]])).alias(f"b_{c}") for c in columns}
+    brackets = materialize(sampled.groupBy(*by).agg(*edges.values()), "brackets")
     rows = join_groups(df, brackets, by)
 
     slots = [(i, j, c) for i, c in enumerate(columns) for j in range(len(probabilities))]
     # An end at 0 or 1 is open: the sample's extreme is not the group's.
-    low = {(i, j): f"b_{c}[{2 * j}]" if ends[2 * j] > 0 else "double('-Infinity')" for i, j, c in slots}
-    high = {(i, j): f"b_{c}[{2 * j + 1}]" if ends[2 * j + 1] < 1 else "double('Infinity')" for i, j, c in slots}
+    low = {(i, j): f"b_{c}[{2 * j}]" if ends[c][2 * j] > 0 else "double('-Infinity')" for i, j, c in slots}
+    high = {(i, j): f"b_{c}[{2 * j + 1}]" if ends[c][2 * j + 1] < 1 else "double('Infinity')" for i, j, c in slots}
     below = rows.groupBy(*by).agg(*[F.expr(f"count_if({c} < {low[i, j]}) AS below_{i}_{j}") for i, j, c in slots])
     inside = rows.select(*by, F.expr("inline(array_compact(array(" + ", ".join(
         f"CASE WHEN {c} >= {low[i, j]} AND {c} <= {high[i, j]} THEN named_struct('_i', {i}, '_j', {j}, '_v', {c}) END"
