@@ -109,18 +109,20 @@ def _fill_facts(df: DataFrame, keys: Sequence[str], raw: str, cap: Column, expos
     order = Window.partitionBy(*keys).orderBy(F.desc("_raw"), "ticker")
     leading = lifted.withColumn("_j", F.row_number().over(order)).where(F.col("_j") <= most)
     leading = with_group_facts(leading.drop("_cap", "_exposure").withColumn("_j", F.col("_j") - 1), totals, keys)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    leading = leading.withColumn("_left_raw", F.col("_sum") - F.coalesce(F.sum("_raw").over(before), F.lit(0.0)))
+    whole, onwards = Window.partitionBy(*keys), order.rowsBetween(0, Window.unboundedFollowing)
+    # What is left from row j on, summed and not subtracted: the smallest weights would lose their digits.
+    beyond = F.when(F.col("_n") > most, F.greatest(F.col("_sum") - F.sum("_raw").over(whole), F.lit(0.0))).otherwise(0.0)
+    leading = leading.withColumn("_beyond", beyond)
+    leading = leading.withColumn("_left_raw", F.sum("_raw").over(onwards) + F.col("_beyond"))
     budget = F.col("_target") - F.col("_j") * F.col("_cap")
     share = F.try_divide(budget * F.col("_raw"), F.col("_left_raw"))
     hit = (F.col("_left_raw") > TINY) & (budget > TINY) & F.coalesce(share >= F.col("_cap"), F.lit(False))
-    whole = Window.partitionBy(*keys)
     leading = leading.withColumn("_k", F.coalesce(F.min(F.when(~hit, F.col("_j"))).over(whole), F.count(F.lit(1)).over(whole)))
     capped = F.col("_j") < F.col("_k")
     facts = leading.groupBy(*keys).agg(
         F.first("_n").alias("_n"), F.first("_k").alias("_k"), F.first("_cap").alias("_cap"),
         (F.first("_target") - F.first("_k") * F.first("_cap")).alias("_rest"),
-        (F.first("_sum") - F.sum(F.when(capped, F.col("_raw")).otherwise(0.0))).alias("_rest_raw"),
+        (F.first("_beyond") + F.sum(F.when(capped, 0.0).otherwise(F.col("_raw")))).alias("_rest_raw"),
         F.max_by(F.struct("_raw", "ticker"), F.when(capped, F.col("_j"))).alias("_last_capped"),
         F.min_by(F.struct("_raw", "ticker"), "_j").alias("_leader"),
     )
