@@ -210,7 +210,8 @@ CTES["moments_t"] = "SELECT date, " + ", ".join(
     f"stddev_pop(greatest(lo_{c}, least(hi_{c}, {c}))) FILTER ({c} IS NOT NULL) AS std_{c}" for c in FACTORS
 ) + " FROM merged_t JOIN tails_t USING (date) GROUP BY date"
 CTES["factor_t"] = "SELECT date, ticker, gics_sector, " + ", ".join(FACTORS) + ", " + ", ".join(
-    f"CASE WHEN n_{c} < 2 OR lo_{c} = hi_{c} THEN 0 WHEN {c} IS NULL THEN NULL "
+    # Interpolating equal values may move a quantile by a last bit; a deviation of zero says constant as well.
+    f"CASE WHEN n_{c} < 2 OR lo_{c} = hi_{c} OR coalesce(std_{c}, 0) = 0 THEN 0 WHEN {c} IS NULL THEN NULL "
     f"ELSE (greatest(lo_{c}, least(hi_{c}, {c})) - mean_{c}) / nullif(std_{c}, 0) END AS z_{c}" for c in FACTORS
 ) + " FROM merged_t JOIN tails_t USING (date) JOIN moments_t USING (date)"
 CTES["label_t"] = "SELECT date, ticker, " + ", ".join(
