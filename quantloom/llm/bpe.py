@@ -32,6 +32,8 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pieces whose tokens a task remembers.
 REMEMBERED = 400_000
 NEVER = np.iinfo(np.int32).max
+#: Longest piece, in bytes, that is merged together with others.
+SHORT = 48
 
 
 def character_classes() -> np.ndarray:
@@ -256,9 +258,9 @@ def compatible(left: np.ndarray, right: np.ndarray, v: Vocabulary) -> np.ndarray
     return good
 
 
-def merge(piece: bytes, v: Vocabulary, ranks: dict[int, tuple[int, int]]) -> list[int]:
+def merge(piece: bytes, single: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
     """The tokens of a piece by merging, lowest rank first, leftmost first among equals."""
-    tokens = v.byte_tokens[np.frombuffer(piece, np.uint8)].tolist()
+    tokens = [single[byte] for byte in piece]
     n = len(tokens)
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
 
@@ -285,12 +287,52 @@ def merge(piece: bytes, v: Vocabulary, ranks: dict[int, tuple[int, int]]) -> lis
     return [t for t in tokens if t >= 0]
 
 
+def merge_many(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of many pieces by merging, as (tokens, number by piece); every round does the next merge of each piece."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    tokens = v.byte_tokens[data[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(owner))]]
+    done_owner, done_tokens = [], []
+    rank, whole = np.full(len(tokens), NEVER, dtype=np.int32), np.full(len(tokens), -1)
+    stale = np.arange(len(tokens) - 1)
+    while len(tokens):
+        stale = stale[owner[stale] == owner[stale + 1]]
+        place, known = _lookup(v.pair_keys, tokens[stale] << 32 | tokens[stale + 1])
+        rank[stale] = np.where(known, v.pair_ranks[place], NEVER)
+        whole[stale] = v.pair_merged[place]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        spread = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(owner))))
+        at = np.flatnonzero((rank == spread) & (spread < NEVER))
+        if len(at):  # of overlapping equal pairs every second one, from the left
+            begins = np.concatenate([[True], np.diff(at) > 1])
+            run = np.flatnonzero(begins)
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+        tokens[at] = whole[at]
+        rank[at] = NEVER
+        keep = spread < NEVER
+        done_owner.append(owner[~keep])
+        done_tokens.append(tokens[~keep])
+        keep[at + 1] = False
+        moved = np.cumsum(keep) - 1
+        fresh = moved[at]
+        owner, tokens, rank, whole = owner[keep], tokens[keep], rank[keep], whole[keep]
+        rank[fresh] = NEVER
+        before = fresh[fresh > 0] - 1
+        before = before[owner[before] == owner[before + 1]] if len(before) else before
+        rank[before] = NEVER
+        stale = np.union1d(before, fresh[fresh < len(tokens) - 1])
+    owner, tokens = np.concatenate(done_owner), np.concatenate(done_tokens)
+    order = np.argsort(owner, kind="stable")
+    return tokens[order], np.bincount(owner, minlength=len(starts))
+
+
 class Encoder:
     """Encodes slices of texts; remembers the tokens of the pieces it has seen, up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.ranks = dict(zip(vocabulary.pair_keys.tolist(), zip(vocabulary.pair_ranks.tolist(), vocabulary.pair_merged.tolist(), strict=True), strict=True))
+        self.single = vocabulary.byte_tokens.tolist()
         self.forget()
 
     def forget(self) -> None:
@@ -308,15 +350,21 @@ class Encoder:
         counts = np.bincount(owner, minlength=len(starts))
         bad = np.zeros(len(starts), dtype=bool)
         bad[failing] = True
-        merged = [merge(data[starts[i] : ends[i]].tobytes(), self.v, self.ranks) for i in failing.tolist()]
         good_counts = np.where(bad, 0, counts)
         pool = [tokens[~bad[owner]]]
         first = np.cumsum(good_counts) - good_counts
-        sizes = np.array([len(m) for m in merged], dtype=np.int64)
-        if len(failing):
-            pool.append(np.concatenate([np.array(m, dtype=np.int64) for m in merged]))
-            first[failing] = len(pool[0]) + np.cumsum(sizes) - sizes
-            good_counts[failing] = sizes
+        long = ends[failing] - starts[failing] > SHORT
+        for group in (failing[~long], failing[long]):
+            if not len(group):
+                continue
+            if ends[group[0]] - starts[group[0]] <= SHORT:
+                merged, sizes = merge_many(data, starts[group], ends[group], self.v)
+            else:
+                each = [merge(data[starts[i] : ends[i]].tobytes(), self.single, self.ranks) for i in group.tolist()]
+                merged, sizes = np.concatenate([np.array(m, dtype=np.int64) for m in each]), np.array([len(m) for m in each])
+            first[group] = sum(map(len, pool)) + np.cumsum(sizes) - sizes
+            good_counts[group] = sizes
+            pool.append(merged)
         self.hashes = np.concatenate([self.hashes, hashes])
         self.first = np.concatenate([self.first, first + len(self.pool)])
         self.count = np.concatenate([self.count, good_counts])

@@ -5,8 +5,10 @@ differ in at most H = (a + b)(100 - p) / (100 + p) elements. Set sizes fall into
 the same or the next band, and each band has its own H.
 
 1. *Classes.* Documents with equal sets are one class; one member stands for it.
-2. *Segments.* The universe of shingles is cut into H + 1 segments by hash. At most H elements differ, so two partners
-   have one segment in common: every class is indexed by the hash of each of its segment subsets.
+2. *Segments.* The universe of shingles is cut by hash into somewhat more than H + 1 segments. At most H elements differ,
+   so of any H + 1 segments two partners have one in common: every class is indexed by the hashes of its segment subsets.
+   The spare segments allow a class to leave out its empty ones, which are alike in unlike texts; the few classes with
+   more empty segments than spare ones index them too, so that two of these meet as well.
 3. *Allocation.* A segment that many classes share costs pairs: f(f - 1)/2. Where that is more than the signatures which
    its members' one-deletion neighbourhoods would take, the segment is left alone and its members are indexed again
    in half as many, twice as long segments, each with its subset and all subsets with one element less. Two partners
@@ -23,10 +25,11 @@ Python runs in Arrow batches over numpy arrays; Spark partitions, groups, joins
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -37,6 +40,10 @@ SIZE = 3
 PERCENT = 90
 #: Set elements in a chunk of a group; what one piece of checking holds at a time is twice that.
 CHUNK_ELEMENTS = 1 << 18
+#: Shares of spare segments to choose from.
+SPARE = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)
+#: Classes that a task remembers to have indexed.
+SEEN = 200_000
 #: Vocabulary columns multiplied at a time.
 COLUMNS = 4096
 
@@ -44,7 +51,8 @@ _U = np.uint64
 
 
 class Bands:
-    """Size bands: `low[i]` to `high[i]`, and the most elements in which partners differ whose larger set is in band i."""
+    """Size bands `low[i]` to `high[i]`; by the band of the larger partner, the most elements in which partners differ
+    (`differing`) and the number of segments."""
 
     def __init__(self, percent: int, largest: int):
         low = [1]
@@ -53,6 +61,13 @@ class Bands:
         self.low = np.array(low)
         self.high = self.low * 100 // percent
         self.differing = 2 * self.high * (100 - percent) // (100 + percent)
+        # The smallest set in a band's segments is `percent` of its low end; its share of empty ones should be spare.
+        smallest = np.maximum(self.low * percent / 100, 1)
+        segments = self.differing + 1
+        for spare in SPARE:
+            more = np.ceil((self.differing + 1) * (1 + spare)).astype(np.int64)
+            segments = np.where(2 * np.exp(-smallest / segments) > segments / (self.differing + 1) - 1, more, segments)
+        self.segments = np.where(self.differing > 0, segments, 0)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
@@ -86,15 +101,19 @@ def segment_keys(tokens: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[n
     for ahead in (0, 1):
         band = bands.of(np.maximum(sizes, 1)) + ahead
         differing = bands.differing[band]
-        segments = np.where((sizes > 0) & (differing > 0), differing + 1, 0)
+        segments = np.where(sizes > 0, bands.segments[band], 0)
         live = segments > 0
         if not live.any():
             continue
         inside = np.repeat(live, sizes)
-        _, _, sums, _, _ = _segment_sums(tokens[inside], sizes[live], segments[live], 0)
-        keys.append(mix64(sums + _cell_salt(band[live], segments[live], 11)))
-        owners.append(np.repeat(np.flatnonzero(live), segments[live]))
-        counts += segments
+        first, bounds, sums, _, _ = _segment_sums(tokens[inside], sizes[live], segments[live], 0)
+        owner = np.repeat(np.flatnonzero(live), segments[live])
+        empty = bounds[1:] == bounds[:-1]
+        spare = segments[live] - bands.differing[band[live]] - 1
+        wanted = ~empty | np.repeat(np.add.reduceat(empty, first[:-1], dtype=np.int64) > spare, segments[live])
+        keys.append(mix64(sums + _cell_salt(band[live], segments[live], 11))[wanted])
+        owners.append(owner[wanted])
+        counts += np.bincount(owner[wanted], minlength=len(sizes))
     if not keys:
         return counts, np.zeros(0, _U)
     owner = np.concatenate(owners)
@@ -118,27 +137,50 @@ def _long(values: np.ndarray) -> np.ndarray:
     return values.astype(_U).view(np.int64)
 
 
-def index_texts(text: str, carried: list[str], size: int, percent: int):
-    """For `mapInArrow`: the carried columns, the set's size, a 128-bit hash of it, and the keys of the first index."""
+def _set_hashes(offsets: np.ndarray, tokens: np.ndarray, salt: int) -> np.ndarray:
+    running = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(tokens + _U(salt)), dtype=_U)])
+    return mix64(running[offsets[1:]] - running[offsets[:-1]] + np.diff(offsets).astype(_U))
+
+
+def name_sets(size: int):
+    """For `mapInArrow` over (doc_id, text): the id, the set's size and a 128-bit hash of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent, 1 << 20)
         for batch in batches:
-            for part in text_slices(batch.column(text)):
+            for part in text_slices(batch.column("text")):
+                offsets, tokens = shingle_sets(find_words(part), size)
+                hashes = [pa.array(_long(_set_hashes(offsets, tokens, salt))) for salt in (101, 211)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(part.first, part.last - part.first), pa.array(np.diff(offsets), pa.int64()), *hashes],
+                    names=["doc_id", "n", "node", "check"],
+                )
+
+    return run
+
+
+def index_sets(size: int, percent: int):
+    """For `mapInArrow` over (text): class, set size and the keys of the first index. A task does so once for a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(percent, 1 << 20), set()
+        for batch in batches:
+            for part in text_slices(batch.column("text")):
                 offsets, tokens = shingle_sets(find_words(part), size)
                 sizes = np.diff(offsets)
                 if len(sizes) and sizes.max() * 2 > bands.high[-1]:
                     bands = Bands(percent, int(sizes.max()) * 4)
-                hashes = []
-                for salt in (101, 211):
-                    running = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(tokens + _U(salt)), dtype=_U)])
-                    hashes.append(_long(mix64(running[offsets[1:]] - running[offsets[:-1]] + sizes.astype(_U))))
-                counts, keys = segment_keys(tokens, sizes, bands)
+                nodes = _long(_set_hashes(offsets, tokens, 101))
+                new = np.zeros(len(nodes), dtype=bool)
+                for row, node in enumerate(nodes.tolist()):
+                    if node not in seen:
+                        seen.add(node)
+                        new[row] = True
+                if len(seen) > SEEN:
+                    seen.clear()
+                counts, keys = segment_keys(tokens[np.repeat(new, sizes)], sizes[new], bands)
                 key_offsets = np.concatenate([[0], np.cumsum(counts)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(part.first, part.last - part.first) for c in carried]
-                    + [pa.array(sizes, pa.int64()), pa.array(hashes[0]), pa.array(hashes[1]), list_array(key_offsets, _long(keys), pa.int64())],
-                    names=[*carried, "n", "node", "check", "keys"],
+                    [pa.array(nodes[new]), pa.array(sizes[new], pa.int64()), list_array(key_offsets, _long(keys), pa.int64())], names=["node", "n", "keys"]
                 )
 
     return run
@@ -259,6 +301,23 @@ def check_groups(percent: int):
     return run
 
 
+@contextmanager
+def filtered_scan(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark put a Bloom filter of a join's smaller side into the scan of the larger one, whatever that one's size."""
+    settings = {
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `docs` as (doc_id, n_shingles, component_id); partners have a Jaccard likeness of `percent` % or more.
 
@@ -270,33 +329,27 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    indexed = materialize(
-        given.mapInArrow(index_texts("text", ["doc_id"], size, percent), "doc_id long, n long, node long, check long, keys array<long>"),
-        "indexed",
-    )
-    # One row stands for a class; `node` names it. Equal sets have equal keys, so any row's keys do.
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    indexed = materialize(given.mapInArrow(name_sets(size), "doc_id long, n long, node long, check long"), "indexed")
     classes = materialize(
         indexed.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("least_id")), "classes"
     )
     first = classes.select("node", F.col("least_id").alias("doc_id")).where("doc_id is not null")
+    # One exchange serves the counts by key and the rows they are joined to.
     signatures = (
-        indexed.where("size(keys) > 0").join(first, ["node", "doc_id"], "left_semi")
-        .select("node", "n", F.explode("keys").alias("key"))
+        given.select("text").mapInArrow(index_sets(size, percent), "node long, n long, keys array<long>")
+        .select("node", "n", F.explode("keys").alias("key")).repartition(parts, "key")
     )
-    met = materialize(
+    met = (
         signatures.groupBy("key").agg(F.count("*").alias("f"), F.min("node").alias("hub"), F.max("node").alias("last"), F.max("n").alias("most"))
-        .where("hub < last").select("key", "hub", (F.col("f") - 1 > 2 * F.col("most")).alias("crowded")), "met",
-    )
-    members = materialize(signatures.select("node", "key").join(met, "key").select("node", "hub", "crowded").distinct(), "members")
-    wanted = materialize(
-        members.select("node").distinct().join(first, "node"), "wanted"
-    )
-    texts = (
-        given.join(wanted, "doc_id").groupBy("doc_id", "node", F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text"))
-    )
-    sets = materialize(
-        texts.select("node", "text").mapInArrow(set_rows(size), "node long, elements array<long>"), "sets"
+        .where("hub < last").select("key", "hub", "most", (F.col("f") - 1 > 2 * F.col("most")).alias("crowded"))
     )
+    members = materialize(signatures.join(met, "key").where("n <= most").select("node", "hub", "crowded").distinct(), "members")
+    wanted = materialize(members.select("node").distinct().join(first, "node"), "wanted")
+    with filtered_scan(spark):
+        found = given.join(wanted.where("doc_id > -9000000000000000000"), "doc_id")  # the condition makes the filter worth its while to Spark
+        texts = found.groupBy("doc_id", "node", F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text"))
+        sets = materialize(texts.select("node", "text").mapInArrow(set_rows(size), "node long, elements array<long>"), "sets")
     again = sets.join(members.where("crowded").select("node").distinct(), "node", "left_semi")
     deleted = again.mapInArrow(crowded_rows(percent), "node long, key long, exact boolean")
     second = materialize(deleted, "deleted")
@@ -314,7 +367,6 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     pieces = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "hub", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node"
     )
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     links = (
         pieces.join(sets, "node").repartition(parts, "hub", "a", "b").sortWithinPartitions("hub", "a", "b", "node")
         .mapInArrow(check_groups(percent), "a long, b long")
