@@ -17,6 +17,8 @@ SIZE = 5
 BIN_BITS = 7
 BITS = 8
 PROBES = 4
+#: Stands for a missing id, before all others.
+NO_ID = -(2**63)
 BLANKS = " \t\n\x0b\x0c\r"
 SEPARATOR = "[\\x20\\x09-\\x0D]+"
 
@@ -124,21 +126,20 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     document in that order and give equal rows; rows of one doc_id with different texts follow each other by a hash of
     the text; a NULL doc_id comes first. Other columns of `docs` are ignored. An empty table gives an empty result.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = given.withColumn("h", F.xxhash64("text"))
     keys = keyed.groupBy("doc_id", "h").agg(F.max(F.length("text")).alias("n"))
     order = materialize(successors(keys, "doc_id", "h"), "order")
-    each = keyed.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("times"))
+    # Both uses of `each` have the same columns and conditions, so one exchange of the texts serves both.
+    each = keyed.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("times")).where("times > 0")
     asked = order.select(
         F.col("next_doc_id").alias("doc_id"), F.col("next_h").alias("h"), F.floor(F.col("n") / 4).cast("int").alias("most"),
         F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"),
     )
-
-    def same(a: DataFrame, b: DataFrame, left: str = "doc_id", right: str = "h"):
-        return a["doc_id"].eqNullSafe(b[left]) & (a["h"] == b[right])
-
-    heads = each.join(asked, same(each, asked)).select("for_id", "for_h", "most", F.expr("substring(text, 1, most)").alias("head"))
-    own = each.join(heads, same(each, heads, "for_id", "for_h"))
+    heads = each.join(asked, ["doc_id", "h"]).select(
+        F.col("for_id").alias("doc_id"), F.col("for_h").alias("h"), "most", F.expr("substring(text, 1, most)").alias("head")
+    )
+    own = each.join(heads, ["doc_id", "h"])
     kept = F.expr("substring(text, 1, cast(n_chars - most as int))")
     split = (
         own.withColumn("n_chars", F.length("text").cast("long")).withColumn("kept", kept)
@@ -151,13 +152,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     stored = materialize(
         made.select("doc_id", "h", "times", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "new"), "fingerprints"
     )
-    following = stored.select(F.col("doc_id").alias("n_id"), F.col("h").alias("n_h"), F.col("own").alias("n_own"))
-    pairs = order.select("doc_id", "h", "next_doc_id", "next_h")
-    beside = pairs.join(following, pairs["next_doc_id"].eqNullSafe(following["n_id"]) & (pairs["next_h"] == following["n_h"])).select(
-        F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), "n_own"
-    )
-    result = stored.join(beside, same(stored, beside, "for_id", "for_h"))
+    following = stored.select(F.col("doc_id").alias("next_doc_id"), F.col("h").alias("next_h"), F.col("own").alias("n_own"))
+    beside = order.select("doc_id", "h", "next_doc_id", "next_h").join(following, ["next_doc_id", "next_h"]).select("doc_id", "h", "n_own")
+    result = stored.join(beside, ["doc_id", "h"])
     return result.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(
-        "doc_id", "n_chars", "edited_sha256", packed(F.col("own")).alias("fingerprint"), packed(F.col("new")).alias("edited_fingerprint"),
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", packed(F.col("own")).alias("fingerprint"), packed(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("n_own")).alias("near_next"),
     )
