@@ -26,11 +26,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are no copies of each other and all stay. Of repeated rows of the document that stays, one
     stays. A row without id stays if no row of its component has one; of several such rows, one for each text.
     """
+    no_id = F.lit(-(2**63))
     found = jaccard.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
-    leaders = found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id"), (F.col("component_id").isNull()).alias("_open")).distinct()
-    kept = docs.join(leaders, docs["doc_id"].eqNullSafe(leaders["_id"]), "left_semi")
-    first = kept.groupBy("doc_id", F.xxhash64("text").alias("_text"), F.when(F.length(F.coalesce("text", F.lit(""))) == 0, F.monotonically_increasing_id()).alias("_row"))
-    return first.agg(*[F.first(c).alias(c) for c in docs.columns if c != "doc_id"]).select(*docs.columns)
+    leaders = found.where("component_id is null or doc_id = component_id").select(F.coalesce("doc_id", no_id).alias("_id")).distinct()
+    # Joined and grouped by the same key, so the texts are shuffled once.
+    kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), no_id)).join(leaders.hint("merge"), "_id", "left_semi")
+    empty = F.length(F.coalesce("text", F.lit(""))) == 0
+    first = kept.groupBy("_id", F.xxhash64("text").alias("_text"), F.when(empty, F.monotonically_increasing_id()).alias("_row"))
+    return first.agg(*[F.first(c).alias(c) for c in docs.columns]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,10 @@ the same or the next band, and each band has its own H.
    then differ by at most one element in one segment. A pair is found in an uncrowded segment, or both of its members
    have a crowded one and it is found in the second index, so no link is lost.
 4. *Checks.* Classes with a common key meet at the least class of that key. Groups are cut into chunks of bounded size
-   and every pair of chunks is one piece of work; a task multiplies incidence matrices and keeps the exact links, as a
-   spanning forest. Pairs are never written as rows.
+   and every pair of chunks is one piece of work. First only short histograms of the sets are sent: two sets differ in at
+   least as many elements as their histograms do, so members without any partner within reach drop out. For the rest
+   a task multiplies incidence matrices of the sets and keeps the exact links, as a spanning forest. Pairs are never
+   written as rows.
 5. *Components* of the links give each document the smallest doc_id it can reach.
 
 Python runs in Arrow batches over numpy arrays; Spark partitions, groups, joins and shuffles.
@@ -44,6 +46,10 @@ CHUNK_ELEMENTS = 1 << 18
 SPARE = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)
 #: Classes that a task remembers to have indexed.
 SEEN = 200_000
+#: Classes in a chunk of a group, at most about so many.
+CHUNK_CLASSES = 1024
+#: Buckets of a histogram of a set, a byte each.
+BUCKETS = 128
 #: Vocabulary columns multiplied at a time.
 COLUMNS = 4096
 
@@ -150,9 +156,15 @@ def name_sets(size: int):
             for part in text_slices(batch.column("text")):
                 offsets, tokens = shingle_sets(find_words(part), size)
                 hashes = [pa.array(_long(_set_hashes(offsets, tokens, salt))) for salt in (101, 211)]
+                sizes = np.diff(offsets)
+                cell = np.repeat(np.arange(len(sizes)), sizes) * BUCKETS + (mix64(tokens ^ _U(5)) % _U(BUCKETS)).astype(np.int64)
+                histogram = np.minimum(np.bincount(cell, minlength=len(sizes) * BUCKETS), 255).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(part.first, part.last - part.first), pa.array(np.diff(offsets), pa.int64()), *hashes],
-                    names=["doc_id", "n", "node", "check"],
+                    [
+                        batch.column("doc_id").slice(part.first, part.last - part.first), pa.array(sizes, pa.int64()), *hashes,
+                        pa.array([histogram[i : i + BUCKETS] for i in range(0, len(histogram), BUCKETS)], pa.binary()),
+                    ],
+                    names=["doc_id", "n", "node", "check", "histogram"],
                 )
 
     return run
@@ -271,32 +283,84 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def check_groups(percent: int):
-    """For `mapInArrow` over rows sorted by (hub, a, b): the links found in each group, groups running across batches."""
+def pieces_of(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[tuple, list, list] | None]:
+    """Pieces (key, nodes, values) of rows sorted by (hub, a, b), running across batches; None after each batch."""
+    current, nodes, values = None, [], []
+    for batch in batches:
+        column = batch.column(value)
+        if pa.types.is_list(column.type):
+            flat, offsets = column.values.to_numpy(zero_copy_only=False).view(_U), column.offsets.to_numpy()
+            found = [flat[a:b].copy() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        else:
+            found = [np.frombuffer(x, np.uint8) for x in column.to_pylist()]
+        keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "a", "b")), strict=True)
+        for key, node, one in zip(keys, batch.column("node").to_pylist(), found, strict=True):
+            if key != current:
+                if len(nodes) > 1:
+                    yield current, nodes, values
+                current, nodes, values = key, [], []
+            nodes.append(node)
+            values.append(one)
+        yield None
+    if len(nodes) > 1:
+        yield current, nodes, values
+
+
+def within_reach(sizes: np.ndarray, histograms: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have any partner whose size and histogram allow a link."""
+    n = len(sizes)
+    reached = np.zeros(n, dtype=bool)
+    for i in range(n - 1):
+        differ = np.abs(histograms[i + 1 :] - histograms[i]).sum(axis=1)
+        both = sizes[i + 1 :] + sizes[i]
+        # Of d differing elements among `both`, (both - d) / 2 are common to the (both + d) / 2 of the union.
+        near = 100 * (both - differ) >= percent * (both + differ)
+        reached[i] |= near.any()
+        reached[i + 1 :] |= near
+    return reached
 
-    def links(nodes, sets):
-        pairs = exact_links(sets, percent) if len(sets) > 1 else []
-        return [nodes[i] for i, _ in pairs], [nodes[j] for _, j in pairs]
+
+def prune_groups(percent: int):
+    """For `mapInArrow` over rows sorted by (hub, a, b): the members that have a partner within reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, nodes, sets = None, [], []
-        for batch in batches:
-            column = batch.column("elements")
-            values = column.values.to_numpy(zero_copy_only=False).view(_U)
-            offsets = column.offsets.to_numpy()
-            left, right = [], []
-            keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "a", "b", "node")), strict=True)
-            for row, (hub, a, b, node) in enumerate(keys):
-                if (hub, a, b) != current:
-                    x, y = links(nodes, sets)
-                    left += x
-                    right += y
-                    current, nodes, sets = (hub, a, b), [], []
-                nodes.append(node)
-                sets.append(values[offsets[row] : offsets[row + 1]].copy())
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-        left, right = links(nodes, sets)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        kept: list[tuple] = []
+        schema = pa.schema([(c, pa.int64()) for c in ("hub", "a", "b", "node")])
+        for piece in pieces_of(batches, "sketch"):
+            if piece:
+                key, nodes, values = piece
+                sketches = np.stack(values)
+                sizes = sketches[:, BUCKETS:].copy().view(">i8")[:, 0]
+                reached = within_reach(sizes, sketches[:, :BUCKETS].astype(np.int64), percent)
+                kept += [(*key, nodes[i]) for i in np.flatnonzero(reached)]
+            elif kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], schema=schema)
+                kept = []
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], schema=schema)
+
+    return run
+
+
+def check_groups(percent: int):
+    """For `mapInArrow` over rows sorted by (hub, a, b): the links found in each piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = [], []
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+        for piece in pieces_of(batches, "elements"):
+            if piece:
+                _, nodes, sets = piece
+                for i, j in exact_links(sets, percent):
+                    left.append(nodes[i])
+                    right.append(nodes[j])
+            else:
+                yield found()
+                left, right = [], []
+        yield found()
 
     return run
 
@@ -329,30 +393,34 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Sides that grow with the input are merged at every size, never broadcast where they happen to be small.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    indexed = materialize(given.mapInArrow(name_sets(size), "doc_id long, n long, node long, check long"), "indexed")
+    indexed = materialize(given.mapInArrow(name_sets(size), "doc_id long, n long, node long, check long, histogram binary"), "indexed")
     classes = materialize(
-        indexed.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("least_id")), "classes"
+        indexed.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("least_id"), F.min("histogram").alias("histogram")), "classes"
     )
     first = classes.select("node", F.col("least_id").alias("doc_id")).where("doc_id is not null")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = materialize(nodes.distinct().join(first.hint("merge"), "node"), "wanted")
+        with filtered_scan(spark):
+            found = given.join(wanted.where("doc_id > -9000000000000000000").hint("merge"), "doc_id")  # with a condition, Spark takes the filter to be selective
+            texts = found.groupBy("doc_id", "node", F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text"))
+            return materialize(texts.select("node", "text").mapInArrow(set_rows(size), "node long, elements array<long>"), "sets")
+
     # One exchange serves the counts by key and the rows they are joined to.
     signatures = (
         given.select("text").mapInArrow(index_sets(size, percent), "node long, n long, keys array<long>")
-        .select("node", "n", F.explode("keys").alias("key")).repartition(parts, "key")
+        .select("node", "n", F.explode("keys").alias("key")).where("key is not null and n is not null").repartition(parts, "key")
     )
     met = (
         signatures.groupBy("key").agg(F.count("*").alias("f"), F.min("node").alias("hub"), F.max("node").alias("last"), F.max("n").alias("most"))
         .where("hub < last").select("key", "hub", "most", (F.col("f") - 1 > 2 * F.col("most")).alias("crowded"))
     )
     members = materialize(signatures.join(met, "key").where("n <= most").select("node", "hub", "crowded").distinct(), "members")
-    wanted = materialize(members.select("node").distinct().join(first, "node"), "wanted")
-    with filtered_scan(spark):
-        found = given.join(wanted.where("doc_id > -9000000000000000000"), "doc_id")  # the condition makes the filter worth its while to Spark
-        texts = found.groupBy("doc_id", "node", F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text"))
-        sets = materialize(texts.select("node", "text").mapInArrow(set_rows(size), "node long, elements array<long>"), "sets")
-    again = sets.join(members.where("crowded").select("node").distinct(), "node", "left_semi")
-    deleted = again.mapInArrow(crowded_rows(percent), "node long, key long, exact boolean")
-    second = materialize(deleted, "deleted")
+    second = materialize(
+        sets_of(members.where("crowded").select("node")).mapInArrow(crowded_rows(percent), "node long, key long, exact boolean"), "deleted"
+    )
     meeting = (
         second.groupBy("key").agg(F.max("exact").alias("exact"), F.min("node").alias("hub"), F.max("node").alias("last"))
         .where("exact and hub < last").select("key", "hub")
@@ -361,14 +429,19 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
         members.where("not crowded").select("node", "hub").union(second.join(meeting, "key").select("node", "hub")).distinct(),
         "groups",
     )
-    sized = groups.join(classes.select("node", "n"), "node")
-    chunks = sized.groupBy("hub").agg(F.ceil(F.sum("n") / CHUNK_ELEMENTS).cast("int").alias("chunks"))
-    placed = sized.join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    pieces = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "hub", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node"
+    sized = groups.join(classes.select("node", "n", "histogram").hint("merge"), "node")
+    chunks = sized.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_ELEMENTS, F.count("*") / CHUNK_CLASSES)).cast("int").alias("chunks"))
+    placed = sized.join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("long"))
+    pieces = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))).select(
+        "hub", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node",
+        F.concat("histogram", F.unhex(F.lpad(F.hex("n"), 16, "0"))).alias("sketch"),
+    )
+    key = ["hub", "a", "b"]
+    near = materialize(
+        pieces.repartition(parts, *key).sortWithinPartitions(*key, "node").mapInArrow(prune_groups(percent), "hub long, a long, b long, node long"), "near"
     )
     links = (
-        pieces.join(sets, "node").repartition(parts, "hub", "a", "b").sortWithinPartitions("hub", "a", "b", "node")
+        near.join(sets_of(near.select("node")).hint("merge"), "node").repartition(parts, *key).sortWithinPartitions(*key, "node")
         .mapInArrow(check_groups(percent), "a long, b long")
     )
     roots = components(links)
