@@ -33,6 +33,8 @@ SHARE = 4e-4
 #: Training texts held out for the weights: one of so many.
 FOLDS = 10
 ROUNDS = 60
+#: Held-out tokens that each part of the mixture is given beforehand, so that no weight becomes 0.
+PRIOR = 1.0
 #: Words gathered before their distinct ones are handed on.
 GATHERED = 2_000_000
 
@@ -150,7 +152,7 @@ def learn_weights(kept: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.nd
         shares = amount * mixed / mixed.sum(axis=0)
         for b in np.unique(buckets[context]):
             inside = buckets[context] == b
-            weights[b] = shares[:, inside].sum(axis=1) / amount[inside].sum()
+            weights[b] = (shares[:, inside].sum(axis=1) + PRIOR) / (amount[inside].sum() + 3 * PRIOR)
     return weights, buckets
 
 

@@ -117,7 +117,9 @@ def test_language_model(documents, odd_texts):
         assert (rows[i].held_out, rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens) == (held[i], len(t), sum(counts[w] > 0 for w in t), total)
         assert rows[i].base_score == pytest.approx(base, abs=1e-6)
         assert rows[i].score < 0
-    assert sum(r.score for r in rows.values()) > sum(r.base_score for r in rows.values())
+    alike = [r for i, r in rows.items() if i >= len(odd_texts) and r.held_out]
+    assert alike and sum(r.score for r in alike) > sum(r.base_score for r in alike)
+    assert all(r.score > 2 * r.base_score - 20 for r in rows.values())
 
 
 def test_class_probabilities_sum_to_one():
