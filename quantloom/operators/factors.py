@@ -125,7 +125,9 @@ def winsorized_zscore(
 
     A group with fewer than two values, or a constant one, scores 0 on every row; otherwise NULL stays NULL. Read
     passes: quantiles, then moments of the clipped values, then scores. Per-group results are tiny and joined back.
+    NaN counts as missing and comes out as NULL.
     """
+    df = df.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns})
     tails = materialize(
         group_quantiles(df, [by], columns, TAILS, max_rows=max_rows, largest=largest), "tails"
     )
@@ -166,7 +168,7 @@ def factor_correlation_pairs(factors: DataFrame, above: float = 0.95) -> DataFra
     Each task reduces its rows to one small matrix of moments per batch; Spark adds the moments of a pair. Values are
     shifted by their overall mean first, so that the sums of products keep their digits.
     """
-    values = factors.select(*[F.col(c).cast("double") for c in ALL_FACTORS])
+    values = factors.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in ALL_FACTORS])
     shifts = [value or 0.0 for value in values.agg(*[F.avg(c) for c in ALL_FACTORS]).first()]
     moments = values.mapInPandas(partial(_pair_moments, shifts=shifts), _PAIR_MOMENTS).groupBy("left_factor", "right_factor").agg(
         *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")],

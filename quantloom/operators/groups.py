@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -67,16 +68,18 @@ def ordinal(
     max_rows: int = SLICE_ROWS,
     largest: int | None = None,
 ) -> DataFrame:
-    """1-based position of each row of its group by `value`, ties by `row_key`; NULL values come last."""
+    """1-based position of each row of its group by `value`, ties by `row_key`; NULL and NaN come last."""
     largest = largest_group(df, by) if largest is None else largest
-    direction = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    kind = df.schema[value].dataType
+    known = F.nanvl(F.col(value), F.lit(None).cast(kind)) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(value)
+    direction = known.desc_nulls_last() if descending else known.asc_nulls_last()
     if largest <= max_rows:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(direction, *row_key)))
 
     keyed, keys = _with_constant_group(materialize(df, "ordinal"), by)
-    signed = -F.col(value) if descending else F.col(value)
+    signed = -known if descending else known
     sort_key = F.struct(
-        F.col(value).isNull().alias("last"), F.coalesce(signed, F.lit(0.0)).alias("v"),
+        known.isNull().alias("last"), F.coalesce(signed, F.lit(0).cast(kind)).alias("v"),
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(row_key)],
     )
     bounds = materialize(_slice_bounds(keyed, keys, sort_key, row_key, max_rows), "bounds")

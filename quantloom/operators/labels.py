@@ -71,27 +71,22 @@ def split_calendar(
     From the newest date back: final holdout, test, validation, train, an embargo between neighbours. Fewer than 30
     dates are cut 60/20/20 without embargo or holdout.
     """
-    n = F.col("total")
-    bounds = numbered_dates(dates).withColumn("small", n < SMALL_SAMPLE_DATES)
-    bounds = bounds.withColumn("final_start", F.when(F.col("small"), n).otherwise(n - _at_least_one(n * final_holdout_pct)))
-    bounds = bounds.withColumn("test_end", F.when(F.col("small"), n).otherwise(
-        F.greatest(F.lit(1), F.col("final_start") - embargo_days)))
-    small_train = _at_least_one(n * 0.60)
-    small_test = F.greatest(small_train + 1, (n * 0.80).cast("int"))
-    bounds = bounds.withColumn("test_start", F.when(F.col("small"), small_test).otherwise(
-        F.greatest(F.lit(1), F.col("test_end") - _at_least_one(n * test_pct))))
-    bounds = bounds.withColumn("val_end", F.when(F.col("small"), small_test).otherwise(
-        F.greatest(F.lit(1), F.col("test_start") - embargo_days)))
-    bounds = bounds.withColumn("val_start", F.when(F.col("small"), small_train).otherwise(
-        F.greatest(F.lit(1), F.col("val_end") - _at_least_one(n * validation_pct))))
-    bounds = bounds.withColumn("train_end", F.when(F.col("small"), small_train).otherwise(
-        F.greatest(F.lit(1), F.col("val_start") - embargo_days)))
-    at = F.col("position")
+    n, at, first = F.col("total"), F.col("position"), F.lit(1)
+    regular, newer = [], n
+    for name, share in (("final_holdout", final_holdout_pct), ("test", test_pct), ("validation", validation_pct)):
+        oldest = newer - _at_least_one(n * share)
+        oldest = oldest if name == "final_holdout" else F.greatest(first, oldest)
+        regular.append((name, oldest, newer))
+        newer = F.greatest(first, oldest - embargo_days)
+    regular.append(("train", F.lit(0), newer))
+    cut = _at_least_one(n * 0.60)
+    later = F.greatest(cut + 1, (n * 0.80).cast("int"))
+    short = {"final_holdout": (n, n), "test": (later, n), "validation": (cut, later), "train": (F.lit(0), cut)}
+    few = n < SMALL_SAMPLE_DATES
+    bounds = numbered_dates(dates)
     inside = [
-        (at < F.col("train_end"), "train"),
-        ((at >= F.col("val_start")) & (at < F.col("val_end")), "validation"),
-        ((at >= F.col("test_start")) & (at < F.col("test_end")), "test"),
-        (at >= F.col("final_start"), "final_holdout"),
+        (F.when(few, (at >= short[name][0]) & (at < short[name][1])).otherwise((at >= oldest) & (at < newest)), name)
+        for name, oldest, newest in regular
     ]
     # Clamped cuts of very short histories may overlap, so a date can belong to two splits.
     named = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for hit, name in inside]))

@@ -61,7 +61,7 @@ def score_news_lexicon(news: DataFrame, lexicon: dict[str, list[str]] | None = N
     lexicon = {**DEFAULT_LEXICON, **(lexicon or {})}
     listed = sorted({word for words in lexicon.values() for word in words})
     stripped = F.transform(
-        F.split(F.trim("_text"), r"\s+"), lambda token: F.btrim(token, F.lit(STRIPPED_CHARACTERS))
+        F.split(F.regexp_replace("_text", r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), lambda token: F.btrim(token, F.lit(STRIPPED_CHARACTERS))
     )
     text = F.lower(F.concat(F.col("title"), F.lit(" "), F.coalesce("summary", F.lit(""))))
     tokens = news.withColumn("_text", text).withColumn("_found", F.array_intersect(stripped, F.lit(listed)))

@@ -32,8 +32,8 @@ def as_column(value: float | str | Column) -> Column:
 
 
 def with_group_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join facts with one row per (candidate, date): at most calendar days times candidates, hence broadcast."""
-    return df.join(F.broadcast(facts), list(keys))
+    """Join facts with one row per (candidate, date); Spark broadcasts them where their size allows."""
+    return df.join(facts, list(keys))
 
 
 def select_predictions(

@@ -13,10 +13,11 @@ IMPUTED_SOURCE = "imputed_previous_close"
 
 
 def flag_suspicious_returns(prices: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Flag a close that moved more than `threshold` from the last known earlier close of its ticker."""
+    """Flag a close that moved more than `threshold` from the last known earlier close of its ticker; NaN is unknown."""
     earlier = by_ticker().rowsBetween(Window.unboundedPreceding, -1)
-    previous = F.last("close", ignorenulls=True).over(earlier)
-    jumped = F.abs(F.try_divide("close", previous) - 1) > threshold
+    close = F.nanvl(F.col("close").cast("double"), F.lit(None).cast("double"))
+    previous = F.last(close, ignorenulls=True).over(earlier)
+    jumped = F.abs(F.try_divide(close, previous) - 1) > threshold
     flag = F.coalesce("suspicious_return", F.lit(False)) | F.coalesce(jumped, F.lit(False))
     return prices.withColumn("suspicious_return", flag)
 

@@ -34,7 +34,12 @@ def _csv(spark: SparkSession, path: str, optional: list[str]) -> DataFrame:
 
 
 def _number(name: str) -> Column:
-    return nonempty(F.col(name)).cast("double")
+    return _known(nonempty(F.col(name)))
+
+
+def _known(text: Column) -> Column:
+    """A number; text that reads as NaN is missing."""
+    return F.nanvl(text.cast("double"), F.lit(None).cast("double"))
 
 
 def _source() -> Column:
@@ -70,7 +75,7 @@ def read_benchmark_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = _csv(spark, path, [*names, "yield_2y", "yield_10y", "yield_spread"])
     present = set(rows.columns)
     values = {
-        target: F.coalesce(*[nonempty(F.col(a)) for a in aliases if a in present], F.lit(None)).cast("double")
+        target: _known(F.coalesce(*[nonempty(F.col(a)) for a in aliases if a in present], F.lit(None)))
         for target, aliases in BENCHMARK_ALIASES.items()
     }
     two, ten = _number("yield_2y"), _number("yield_10y")

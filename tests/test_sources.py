@@ -28,10 +28,10 @@ def test_universe_and_prices_csv(spark, tmp_path):
 
 
 def test_benchmark_csv_aliases_and_spread(spark, tmp_path):
-    path = write(tmp_path, "b.csv", "date,SPY,QQQ,VIX,yield_2y,yield_10y\n2026-06-15,605.10,532.40,14.2,4.55,4.21\n2026-06-16,607.00,535.20,13.9,,4.20\n")
+    path = write(tmp_path, "b.csv", "date,SPY,QQQ,VIX,yield_2y,yield_10y\n2024-03-04,410.25,388.50,21.5,3.10,2.85\n2024-03-05,409.75,391.00,NaN,,2.80\n")
     rows = C.read_benchmark_csv(spark, path).orderBy("date").collect()
-    assert rows[0]["yield_spread"] == pytest.approx(-0.34) and rows[1]["yield_spread"] is None
-    assert rows[0]["spy_close"] == 605.10 and rows[0]["vix"] == 14.2
+    assert rows[0]["yield_spread"] == pytest.approx(-0.25) and rows[1]["yield_spread"] is None
+    assert rows[0]["spy_close"] == 410.25 and rows[0]["vix"] == 21.5 and rows[1]["vix"] is None
     lower = write(tmp_path, "l.csv", "date,spy_close,qqq_close,vix,yield_2y,yield_10y,yield_spread\n2026-06-15,1,2,3,4,5,9\n")
     row = C.read_benchmark_csv(spark, lower).first()
     assert (row["spy_close"], row["qqq_close"], row["vix"], row["yield_spread"]) == (1.0, 2.0, 3.0, 9.0)
@@ -113,3 +113,20 @@ def test_upsert_last_row_wins_and_other_partitions_stay(spark, tmp_path):
     K.upsert_table(spark, path, spark.createDataFrame([("d1", 1, 5, 1), ("d1", 1, 6, 2), ("d1", 2, 7, 3)], schema), ["date", "k"], "date", "seq")
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("date", "k", "v").collect()) == [("d1", 1, 6), ("d1", 2, 7), ("d2", 1, 1)]
     assert set(TABLES) >= {"daily_prices", "backtest_trades"}
+
+
+def test_upsert_table_loses_no_row(spark, tmp_path):
+    path = str(tmp_path / "t")
+    K.upsert_table(spark, path, spark.createDataFrame([("d1", "a", 1.0), ("d1", "b", 2.0), ("d2", "c", 3.0)], "d string, k string, v double"), ["k"], "d")
+    K.upsert_table(spark, path, spark.createDataFrame([("x", "a", "d1", 9.0)], "more string, k string, d string, v double"), ["k"], "d")
+    K.upsert_table(spark, path, spark.createDataFrame([("d3", "c")], "d string, k string"), ["k"], "d")
+    rows = spark.read.option("mergeSchema", True).parquet(path).orderBy("k").collect()
+    assert [(r["d"], r["k"], r["v"], r["more"]) for r in rows] == [("d1", "a", 9.0, "x"), ("d1", "b", 2.0, None), ("d3", "c", None, None)]
+
+
+def test_an_empty_version_replaces_the_old_one(spark, tmp_path):
+    path, rows = str(tmp_path / "m"), spark.createDataFrame([("t", 1.0)], "ticker string, v double")
+    K.replace_model_version(rows, path, "a")
+    K.replace_model_version(rows, path, "b")
+    K.replace_model_version(rows.limit(0), path, "b")
+    assert [r["model_version"] for r in spark.read.parquet(path).collect()] == ["a"]
