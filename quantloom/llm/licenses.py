@@ -85,7 +85,7 @@ def matching_lines(files: DataFrame, templates: dict[str, str] = TEMPLATES, leas
     scored = dots.join(lengths, line).withColumn("similarity", F.round(F.col("dot") / F.col("length"), 9)).where(F.col("similarity") >= least)
     best = Window.partitionBy("path").orderBy(F.desc("similarity"), "license", "line_words", "h", "line_no")
     top = scored.withColumn("n", F.row_number().over(best)).where("n = 1").select("path", "h", "license", "similarity", "line_words")
-    sizes = worded.join(top, ["path", "h"], "left_semi").groupBy("path", "h", "line_no").agg(F.max(F.size("words")).alias("w")).groupBy("path", "h").agg(F.sum("w").alias("file_words"))
+    sizes = worded.groupBy("path", "h").agg(F.sum(F.size("words")).alias("file_words"))  # partial sums: one row for each file is shuffled
     return top.join(sizes, ["path", "h"]).select("path", "license", "similarity", "line_words", "file_words")
 
 
