@@ -371,6 +371,8 @@ def filtered_scan(spark: SparkSession) -> Iterator[None]:
     settings = {
         "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
         "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+        # The filter is left out where a side is small enough for a broadcast; these joins are merged at every size.
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
     }
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
