@@ -127,7 +127,7 @@ def _sliced_average_rank(
     known = F.col(value).isNotNull()
     bounds = materialize(_slice_bounds(keyed.where(known), keys, F.col(value), row_key, max_rows), "bounds")
     sliced = join_groups(keyed, bounds, keys)
-    cuts = F.coalesce(F.col("_cuts"), F.array().cast("array<double>"))
+    cuts = F.coalesce(F.col("_cuts"), F.array().cast(T.ArrayType(df.schema[value].dataType)))
     pinned = known & F.coalesce(F.array_contains(cuts, F.col(value)), F.lit(False))
     passed = F.size(F.filter(cuts, lambda cut: cut < F.col(value)))
     sliced = sliced.withColumn("_slice", F.when(known, passed * 2 + F.when(pinned, 1).otherwise(0)).otherwise(-1))

@@ -93,8 +93,9 @@ def parse_scored_responses(responses: DataFrame, payload: str = "response") -> D
     All seven must be present and numeric; otherwise every score is NULL and `error_message` says so.
     """
     content = F.get_json_object(payload, "$.choices[0].message.content")
-    raw = {name: F.get_json_object(content, f"$.{name}").try_cast("double") for name in SCORES}
-    parsed = responses.withColumns({f"_{name}": value for name, value in raw.items()})
+    # One parse for each response: a tuple of texts.
+    numbers = responses.select("*", F.json_tuple(content, *SCORES).alias(*[f"_{name}" for name in SCORES]))
+    parsed = numbers.withColumns({f"_{name}": F.col(f"_{name}").try_cast("double") for name in SCORES})
     complete = F.lit(True)
     for name in SCORES:
         complete = complete & F.col(f"_{name}").isNotNull()

@@ -59,10 +59,11 @@ def average_dollar_volume(prices: DataFrame, rows: int = ADV_ROWS) -> DataFrame:
 
 
 def liquidity_filter(predictions: DataFrame, prices: DataFrame, minimum: float) -> DataFrame:
+    """Predictions of names traded enough; their columns stay as they are. A minimum of zero or less keeps all."""
     if minimum <= 0:
         return predictions
     joined = predictions.join(average_dollar_volume(prices), ["date", "ticker"], "left")
-    return joined.where(F.coalesce("avg_dollar_volume_20d", F.lit(0.0)) >= minimum)
+    return joined.where(F.coalesce("avg_dollar_volume_20d", F.lit(0.0)) >= minimum).select(*predictions.columns)
 
 
 def rank_and_select(

@@ -25,9 +25,14 @@ MARK = "\ufeff"
 def _csv(spark: SparkSession, path: str, optional: list[str]) -> DataFrame:
     """All columns as text under their header names, whatever their order; absent optional ones as NULL.
 
-    The session reads case-insensitively, so a header such as `VIX` also answers to `vix`.
+    The session reads case-insensitively, so a header such as `VIX` also answers to `vix`. All files of a folder must
+    have one header: another order or other names fail the read instead of swapping columns. A quoted value may span
+    lines, so a file is read by one task; land large tables as many files.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
+    raw = (
+        spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+        .option("multiLine", True).option("enforceSchema", False).csv(path)
+    )
     named = raw.toDF(*[c.lstrip(MARK).strip() for c in raw.columns])
     present = {c.lower() for c in named.columns}
     return named.withColumns({c: F.lit(None).cast("string") for c in optional if c.lower() not in present})

@@ -130,3 +130,15 @@ def test_an_empty_version_replaces_the_old_one(spark, tmp_path):
     K.replace_model_version(rows, path, "b")
     K.replace_model_version(rows.limit(0), path, "b")
     assert [r["model_version"] for r in spark.read.parquet(path).collect()] == ["a"]
+
+
+def test_csv_with_quoted_newline_and_with_differing_headers(spark, tmp_path):
+    path = write(tmp_path, "q.csv", 'date,ticker,company,entry_date,exit_date\n2022-05-02,QQ,"Two\nlines",2001-02-03,\n2022-05-02,RR,One,,\n')
+    rows = {r["ticker"]: r["company"] for r in C.read_universe_csv(spark, path).collect()}
+    assert rows == {"QQ": "Two\nlines", "RR": "One"}
+    folder = tmp_path / "prices"
+    folder.mkdir()
+    write(folder, "a.csv", "date,ticker,open,close\n2022-05-02,QQ,1,2\n")
+    write(folder, "b.csv", "date,ticker,close,open\n2022-05-03,QQ,2,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        C.read_prices_csv(spark, str(folder)).collect()
