@@ -2,7 +2,8 @@
 
 A document of a source that should appear `rate` times on average is repeated by inverting the Poisson distribution of
 that mean at a number in [0, 1) taken from a hash of its id, so the same input always gives the same mixture, document
-by document and without any order or state. Copies are then shuffled over all partitions.
+by document and without any order or state. A large mean is a sum of equal ones, each inverted at a number of its own.
+Copies are then shuffled over all partitions.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: exp(-rate) would vanish far beyond this mean.
-MOST_RATE = 500.0
+#: Largest mean that is inverted as a whole, as exp(-rate) vanishes beyond; a larger one is split into equal parts.
+PART_RATE = 700.0
 #: Hexadecimal digits of a hash that make a number: 52 bits, exact in a double.
 DIGITS = 13
 
@@ -36,7 +37,7 @@ def poisson_steps(rate: Column) -> Column:
 
 
 def target_rates(docs: DataFrame, weights: DataFrame | None, temperature: float, epochs: float) -> DataFrame:
-    """(mix_source, steps): for each source the Poisson steps of its mean number of copies.
+    """(mix_source, mix_parts, steps): for each source the parts its mean number of copies has, and the Poisson steps of one.
 
     A source's volume is the characters of its texts plus one for each document. Its share of the output should be its
     weight: given, or volume ** temperature. The output has `epochs` times the input's volume on average.
@@ -54,10 +55,8 @@ def target_rates(docs: DataFrame, weights: DataFrame | None, temperature: float,
     stored = materialize(wished, "volumes")
     totals = stored.agg(F.sum("volume").alias("v"), F.sum("wish").alias("w")).first()
     rate = F.col("wish") / F.lit(float(totals["w"] or 1.0)) * F.lit(float(totals["v"] or 0.0) * epochs) / F.col("volume")
-    highest = stored.agg(F.max(rate)).first()[0] or 0.0
-    if highest > MOST_RATE:
-        raise ValueError(f"a source would be repeated {highest:.0f} times; at most {MOST_RATE:.0f}")
-    return materialize(stored.select("mix_source", poisson_steps(rate).alias("steps")), "rates")
+    parts = F.greatest(F.ceil(rate / PART_RATE), F.lit(1)).cast("int")
+    return materialize(stored.select("mix_source", parts.alias("mix_parts"), poisson_steps(rate / parts).alias("steps")), "rates")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
@@ -71,8 +70,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     """
     rates = target_rates(docs, weights, temperature, epochs)
     identity = F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(docs["text"], F.lit(""))))))
-    drawn = docs.withColumn("shuffle_key", unit(identity)).join(rates, docs["source"].eqNullSafe(rates["mix_source"]))
-    copies = F.size(F.filter("steps", lambda c: c <= F.col("shuffle_key")))
-    repeated = drawn.withColumn("copy_no", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
+    drawn = docs.join(rates, docs["source"].eqNullSafe(rates["mix_source"]))
+    # The first part's number is the hash of the id alone.
+    numbers = F.transform(
+        F.sequence(F.lit(1), F.col("mix_parts")),
+        lambda part: unit(F.concat(identity, F.when(part > 1, F.concat(F.lit(":part "), part.cast("string"))).otherwise(""))),
+    )
+    copies = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter("steps", lambda c: c <= u)))
+    repeated = drawn.withColumn("mix_copies", copies).withColumn("copy_no", F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies")))))
     keyed = repeated.withColumn("shuffle_key", F.md5(F.concat(identity, F.lit(":"), F.col("copy_no").cast("string"))))
     return keyed.select(*docs.columns, "copy_no", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
