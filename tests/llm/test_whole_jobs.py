@@ -1,10 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from quantloom.llm import mixing
+from quantloom.llm import mixing, ngram_lm
+
+from .test_operators import FOLD, WORD
 
 
 def test_mixing_repeats_a_tiny_source_at_any_rate(spark, documents):
@@ -22,3 +26,27 @@ def test_mixing_repeats_a_tiny_source_at_any_rate(spark, documents):
     mean = sum(counts) / 60
     assert len(counts) == 60 and rate > 2 * mixing.PART_RATE and abs(mean - rate) < 6 * (rate / 60) ** 0.5
     assert 0.4 < sum((x - mean) ** 2 for x in counts) / 60 / rate < 1.8
+
+
+@pytest.mark.parametrize("cached", [0, 30, 10**6])
+def test_language_model_uses_pairs_of_rare_words(documents, odd_texts, monkeypatch, cached):
+    """Scores equal those from dense tables of all pairs, however many words are sent to the tasks."""
+    monkeypatch.setattr(ngram_lm, "CACHED", cached)
+    draw = np.random.Generator(np.random.PCG64(21))
+    texts = odd_texts + [" ".join(f"r{x} t{x}" for x in draw.zipf(1.3, 30) % 5000) for _ in range(400)]
+    rows = {r.doc_id: r for r in ngram_lm.score_texts(documents(texts)).collect()}
+    tokens = [["", *WORD.findall((t or "").translate(FOLD)), ""] for t in texts]
+    crc = [zlib.crc32(str(i).encode()) for i in range(len(texts))]
+    training = [c % 5 != 1 for c in crc]
+    known = sorted({w for t, use in zip(tokens, training, strict=True) if use for w in t})
+    place = {w: i for i, w in enumerate(known)}
+    kept, held = np.zeros((2, len(known) + 1, len(known) + 1), dtype=np.int64)
+    for i, t in enumerate(tokens):
+        for s, w in zip(t[:-1], t[1:], strict=True):
+            if training[i]:
+                (held if crc[i] // 5 % ngram_lm.FOLDS == 0 else kept)[place[s], place[w]] += 1
+    scores = ngram_lm.class_scores(kept, held)
+    at = lambda w: place.get(w, len(known))
+    for i, t in enumerate(tokens):
+        want = sum(scores[at(s), at(w)] for s, w in zip(t[:-1], t[1:], strict=True))
+        assert rows[i].score == pytest.approx(want, rel=2e-3)
