@@ -2,15 +2,15 @@
 
 A text is a vector of features of its bytes and words. The utility of a text is linear in them; the chance that one text
 is preferred to another is the logistic function of the difference of their utilities. Weights are fitted by the logistic
-loss on differences of pairs of labelled texts, one of each label. A quantile of the labelled texts' utilities, the share of
-label 0, is the threshold; a score is the chance to be preferred to a text whose utility lies so far below the threshold
+loss on differences of pairs of labelled texts, one of each label, in a sample of bounded size. A quantile of the utilities
+of all labelled training texts, the share of label 0, is the threshold; a score is the chance to be preferred to a text whose utility lies so far below the threshold
 that a score of `CUT` means the threshold itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from .words import IS_SEPARATOR, Slice, find_words, list_array, text_slices
 SAMPLE = 20_000
 #: Partners of each labelled text.
 PARTNERS = 8
+#: Distinct utilities that are gathered at once when a quantile is looked for, and cells that narrow it down to them.
+BRACKET = 4096
 RIDGE = 1e-3
 STEPS = 40
 CUT = 0.7
@@ -106,9 +108,11 @@ class Ranking:
     weights: np.ndarray
     threshold: float
 
+    def utilities(self, features: np.ndarray) -> np.ndarray:
+        return self._widened((features - self.mean) / self.scale) @ self.weights
+
     def scores(self, features: np.ndarray) -> np.ndarray:
-        utility = self._widened((features - self.mean) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(utility - self.threshold + np.log(CUT / (1 - CUT)), -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.utilities(features) - self.threshold + np.log(CUT / (1 - CUT)), -500, 500)))
 
     @staticmethod
     def _widened(standard: np.ndarray) -> np.ndarray:
@@ -151,17 +155,60 @@ def training_rows(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 != 2
 
 
+def by_features(compute, name: str):
+    """For `mapInArrow` over (doc_id, features): (doc_id, what `compute` makes of the features)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = batch.column("features").flatten().to_numpy().reshape(len(batch), len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(compute(features))], names=["doc_id", name])
+
+    return run
+
+
+def between(values: DataFrame, at: int) -> float:
+    """The middle of the values in places `at` and `at` + 1 (from 1) of (u, n), distinct values with their numbers.
+
+    Counts in equal cells narrow the range that holds both places until its distinct values are few.
+    """
+    low, high = values.agg(F.min("u"), F.max("u")).first()
+    below = 0
+    while True:
+        inside = values.where(F.col("u").between(low, high))
+        if low == high or inside.count() <= BRACKET:
+            break
+        cell = F.least(F.floor((F.col("u") - low) / F.lit(high - low) * BRACKET), F.lit(BRACKET - 1))
+        cells = sorted(tuple(r) for r in inside.groupBy(cell.alias("cell")).agg(F.sum("n"), F.min("u"), F.max("u")).collect())
+        reach = below + np.cumsum([c[1] for c in cells])
+        first, last = (int(np.searchsorted(reach, place)) for place in (at, at + 1))
+        if (low, high) == (cells[first][2], cells[last][3]):
+            break
+        below = int(reach[first] - cells[first][1])
+        low, high = cells[first][2], cells[last][3]
+        if first < last:  # the two places are the ends of neighbouring cells
+            return (cells[first][3] + cells[last][2]) / 2
+    found = sorted((r["u"], r["n"]) for r in inside.collect())
+    reach = below + np.cumsum([n for _, n in found])
+    return sum(found[int(np.searchsorted(reach, place))][0] for place in (at, at + 1)) / 2
+
+
 def learn(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
-    """Fit on at most `sample` labelled training rows of each label, taken by the hash of their id."""
+    """Weights fitted on at most `sample` labelled training rows of each label, taken by the hash of their id; the threshold
+    is that of all labelled training rows."""
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = measured.join(known, "doc_id").where(training_rows(F.col("doc_id")))
+    rows = materialize(measured.join(known, "doc_id").where(training_rows(F.col("doc_id"))), "labelled")
     parts = [
         rows.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).select("features", "quality").toPandas()
         for label in (0, 1)
     ]
     labels_found = np.concatenate([p["quality"].to_numpy(dtype=int) for p in parts])
     features = [np.stack(p["features"].to_numpy()) for p in parts if len(p)]
-    return fit(np.concatenate(features) if features else np.zeros((0, len(FEATURES))), labels_found)
+    model = fit(np.concatenate(features) if features else np.zeros((0, len(FEATURES))), labels_found)
+    if not all(map(len, parts)) or max(map(len, parts)) < sample:
+        return model
+    utilities = rows.select("doc_id", "features").mapInArrow(by_features(model.utilities, "u"), "doc_id long, u double")
+    values = materialize(utilities.groupBy("u").agg(F.count("*").alias("n")), "utilities")
+    return replace(model, threshold=between(values, rows.where("quality = 0").count()))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,13 +221,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     measured = materialize(measure(docs), "features")
     model = learn(measured, labels)
 
-    def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("features")
-            features = column.flatten().to_numpy().reshape(len(batch), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(features))], names=["doc_id", "score"])
-
-    scored = measured.mapInArrow(scoring, "doc_id long, score double")
+    scored = measured.mapInArrow(by_features(model.scores, "score"), "doc_id long, score double")
     return scored.select("doc_id", (~training_rows(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 

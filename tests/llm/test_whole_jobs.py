@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quantloom.llm import mixing, ngram_lm
+from quantloom.llm import mixing, ngram_lm, ranking
 
 from .test_operators import FOLD, WORD
 
@@ -50,3 +50,21 @@ def test_language_model_uses_pairs_of_rare_words(documents, odd_texts, monkeypat
     for i, t in enumerate(tokens):
         want = sum(scores[at(s), at(w)] for s, w in zip(t[:-1], t[1:], strict=True))
         assert rows[i].score == pytest.approx(want, rel=2e-3)
+
+
+@pytest.mark.parametrize("bracket", [3, 4096])
+def test_quality_threshold_is_that_of_all_labelled_rows(documents, labels_of, monkeypatch, bracket):
+    """With more rows of a label than the sample holds, the true share of label 0 lies below the threshold."""
+    monkeypatch.setattr(ranking, "BRACKET", bracket)
+    draw = np.random.Generator(np.random.PCG64(4))
+    texts = [" ".join(("SPAM!!" if draw.random() < p else f"word{draw.integers(0, 50)}") for _ in range(30)) for p in [0.2] * 400 + [0.35] * 60]
+    measured = ranking.measure(documents(texts))
+    labels = labels_of([(i, int(i < 400), 0) for i in range(460)])
+    model = ranking.learn(measured, labels, sample=25)
+    training = [i for i in range(460) if zlib.crc32(str(i).encode()) % 4 != 2]
+    features = {r.doc_id: r.features for r in measured.collect()}
+    utilities = np.sort(model.utilities(np.array([features[i] for i in training])))
+    bad = sum(i >= 400 for i in training)
+    assert model.threshold == pytest.approx((utilities[bad - 1] + utilities[bad]) / 2, abs=1e-9)
+    repeated = documents([str(i) for i in range(12)]).selectExpr("cast(doc_id as double) as u", "case when doc_id = 7 then 50L else 1L end as n")
+    assert [ranking.between(repeated, at) for at in (1, 7, 8, 57, 60)] == [0.5, 6.5, 7, 7.5, 10.5]
