@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import bpe, jaccard, mixing, queries, ranking
@@ -26,13 +26,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are no copies of each other and all stay. Of repeated rows of the document that stays, one
     stays. A row without id stays if no row of its component has one; of several such rows, one for each text.
     """
-    no_id = F.lit(-(2**63))
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
-    leaders = found.where("component_id is null or doc_id = component_id").select(F.coalesce("doc_id", no_id).alias("_id")).distinct()
+    def keys(text_key: Column) -> list[Column]:
+        return [F.coalesce(F.col("doc_id").cast("long"), text_key).alias("_id"), F.col("doc_id").isNull().alias("_nameless")]
+
+    found = jaccard.near_components(docs.select("doc_id", "text"), size=5, percent=80)
+    leaders = found.where("component_id is null or doc_id = component_id").select(*keys(F.col("text_key"))).distinct()
     # Joined and grouped by the same key, so the texts are shuffled once.
-    kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), no_id)).join(leaders.hint("merge"), "_id", "left_semi")
+    keyed = docs.select("*", *keys(jaccard.text_key(F.col("doc_id"), F.col("text"))))
+    kept = keyed.join(leaders.hint("merge"), ["_id", "_nameless"], "left_semi")
     empty = F.length(F.coalesce("text", F.lit(""))) == 0
-    first = kept.groupBy("_id", F.xxhash64("text").alias("_text"), F.when(empty, F.monotonically_increasing_id()).alias("_row"))
+    first = kept.groupBy("_id", "_nameless", F.xxhash64("text").alias("_text"), F.when(empty, F.monotonically_increasing_id()).alias("_row"))
     return first.agg(*[F.first(c).alias(c) for c in docs.columns]).select(*docs.columns)
 
 

@@ -31,7 +31,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -149,7 +149,7 @@ def _set_hashes(offsets: np.ndarray, tokens: np.ndarray, salt: int) -> np.ndarra
 
 
 def name_sets(size: int):
-    """For `mapInArrow` over (doc_id, text): the id, the set's size and a 128-bit hash of it."""
+    """For `mapInArrow` over (doc_id, text_key, text): the id and key, the set's size and a 128-bit hash of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +161,10 @@ def name_sets(size: int):
                 histogram = np.minimum(np.bincount(cell, minlength=len(sizes) * BUCKETS), 255).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(part.first, part.last - part.first), pa.array(sizes, pa.int64()), *hashes,
+                        *[batch.column(c).slice(part.first, part.last - part.first) for c in ("doc_id", "text_key")], pa.array(sizes, pa.int64()), *hashes,
                         pa.array([histogram[i : i + BUCKETS] for i in range(0, len(histogram), BUCKETS)], pa.binary()),
                     ],
-                    names=["doc_id", "n", "node", "check", "histogram"],
+                    names=["doc_id", "text_key", "n", "node", "check", "histogram"],
                 )
 
     return run
@@ -393,21 +393,39 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     component; where no row of a component has an id, component_id is NULL. Other columns of `docs` are ignored.
     Shingles and sets are compared by 64-bit and 128-bit hashes. An empty table gives an empty result.
     """
+    return near_components(docs, size, percent, id_col, text_col).drop("text_key")
+
+
+def text_key(doc_id: Column, text: Column) -> Column:
+    """What a row without id is known by: a hash of its text. NULL for a row with an id."""
+    return F.when(doc_id.isNull(), F.xxhash64(F.coalesce(text, F.lit(""))))
+
+
+def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`near_duplicates` with `text_key`, which tells rows without id apart."""
     spark = docs.sparkSession
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(
+        "doc_id", text_key(F.col("doc_id"), F.col("text")).alias("text_key"), "text"
+    )
     # Sides that grow with the input are merged at every size, never broadcast where they happen to be small.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    indexed = materialize(given.mapInArrow(name_sets(size), "doc_id long, n long, node long, check long, histogram binary"), "indexed")
+    indexed = materialize(given.mapInArrow(name_sets(size), "doc_id long, text_key long, n long, node long, check long, histogram binary"), "indexed")
     classes = materialize(
-        indexed.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("least_id"), F.min("histogram").alias("histogram")), "classes"
+        indexed.where("n > 0").groupBy("node", "check", "n").agg(
+            F.min("doc_id").alias("least_id"), F.min("text_key").alias("text_key"), F.min("histogram").alias("histogram")
+        ),
+        "classes",
     )
-    first = classes.select("node", F.col("least_id").alias("doc_id")).where("doc_id is not null")
+    first = classes.select("node", F.col("least_id").alias("doc_id"), "text_key")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = materialize(nodes.distinct().join(first.hint("merge"), "node"), "wanted")
         with filtered_scan(spark):
-            found = given.join(wanted.where("doc_id > -9000000000000000000").hint("merge"), "doc_id")  # with a condition, Spark takes the filter to be selective
-            texts = found.groupBy("doc_id", "node", F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text"))
+            found = given.drop("text_key").join(wanted.drop("text_key").where("doc_id > -9000000000000000000").hint("merge"), "doc_id")  # with a condition, Spark takes the filter to be selective
+            texts = found.groupBy("doc_id", "node", F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text")).select("node", "text")
+            # Copies without id are one before the join, so none of their texts is a hot key.
+            nameless = given.where("doc_id is null").groupBy("text_key").agg(F.any_value("text").alias("text"))
+            texts = texts.union(nameless.join(wanted.where("doc_id is null").select("node", "text_key").hint("merge"), "text_key").select("node", "text"))
             return materialize(texts.select("node", "text").mapInArrow(set_rows(size), "node long, elements array<long>"), "sets")
 
     # One exchange serves the counts by key and the rows they are joined to.
@@ -451,6 +469,6 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = joined.join(least, "root").select("node", "check", "component_id")
     return (
-        indexed.select("doc_id", "n", "node", "check").join(labels, ["node", "check"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        indexed.select("doc_id", "text_key", "n", "node", "check").join(labels, ["node", "check"], "left")
+        .select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     )

@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quantloom.llm import mixing, ngram_lm, ranking
+import corpus_pipeline
+from quantloom.llm import jaccard, mixing, ngram_lm, ranking
 
 from .test_operators import FOLD, WORD
 
@@ -68,3 +69,20 @@ def test_quality_threshold_is_that_of_all_labelled_rows(documents, labels_of, mo
     assert model.threshold == pytest.approx((utilities[bad - 1] + utilities[bad]) / 2, abs=1e-9)
     repeated = documents([str(i) for i in range(12)]).selectExpr("cast(doc_id as double) as u", "case when doc_id = 7 then 50L else 1L end as n")
     assert [ranking.between(repeated, at) for at in (1, 7, 8, 57, 60)] == [0.5, 6.5, 7, 7.5, 10.5]
+
+
+def test_near_copies_without_id_are_found_and_dropped(spark, documents):
+    """A near copy without id belongs to document 7, links documents that are near through it only, and isn't kept."""
+    words = [f"w{i}" for i in range(60)]
+    middle = " ".join(words)
+    left, right = " ".join(["a0", *words[1:]]), " ".join([*words[:-1], "b0"])
+    one_off = [f"n{i}" for i in range(200)]
+    texts = [left, right, middle, middle, " ".join(one_off), " ".join([*one_off[:-1], "e"]), "alone and without any id", " ".join(one_off), "", None]
+    docs = documents(texts, [7, 9, None, None, 20, None, None, None, None, 30])
+    assert not [r for r in jaccard.near_duplicates(documents([left, right], [7, 9]), 3, 95).collect() if r.doc_id != r.component_id]
+    found = jaccard.near_duplicates(docs, 3, 95).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter(
+        {(7, 7): 1, (9, 7): 1, (None, 7): 2, (20, 20): 1, (None, 20): 2, (None, None): 2, (30, 30): 1}
+    )
+    kept = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "alone and without any id"), (7, left), (20, texts[4]), (30, "")]
