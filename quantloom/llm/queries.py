@@ -1,4 +1,4 @@
-"""The ten operators as queries over the test tables, and SQL for those that SQL can express."""
+"""The operators as queries over the test tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, fingerprints, jaccard, licenses, mixing, neighbours, ngram_lm, preferences, ranking, token_rollup
+from . import bpe, fingerprints, jaccard, licenses, mixing, neighbours, ngram_lm, periodic_runs, preferences, ranking, token_rollup
 
 #: The vocabulary file of byte-level BPE; a parameter of the operator.
 BPE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -75,11 +75,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch_path(spark, "rollup"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_fingerprints, op3_jaccard_join, op4_lm_scores, op5_quality, op6_licenses, op7_neighbours, op8_bpe,
-        op9_preferences, op10_token_counts,
+        op9_preferences, op10_token_counts, op13_periodic_runs,
     )
 }
 

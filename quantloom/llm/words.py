@@ -29,7 +29,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _byte_table(seed: int, fold_case: bool, silent: bytes) -> np.ndarray:
+def byte_table(seed: int, fold_case: bool, silent: bytes) -> np.ndarray:
     """A random odd number for each byte value; upper-case A-Z like lower-case, `silent` bytes count nothing."""
     table = mix64(np.arange(1, 257, dtype=_U) * _STEP + _U(seed)) | _U(1)
     if fold_case:
@@ -42,8 +42,8 @@ def _byte_table(seed: int, fold_case: bool, silent: bytes) -> np.ndarray:
 SEPARATORS = b" \t\n\v\f\r"
 IS_SEPARATOR = np.zeros(256, dtype=bool)
 IS_SEPARATOR[list(SEPARATORS)] = True
-WORD_TABLE = _byte_table(1, True, SEPARATORS)
-SPAN_TABLE = _byte_table(2, False, b"")
+WORD_TABLE = byte_table(1, True, SEPARATORS)
+SPAN_TABLE = byte_table(2, False, b"")
 
 
 @dataclass
@@ -108,9 +108,12 @@ class Words:
     counts: np.ndarray
 
 
-def find_words(part: Slice) -> Words:
-    """Maximal runs of bytes other than `SEPARATORS`, hashed with A-Z lower-cased."""
-    inside = ~IS_SEPARATOR[part.data]
+def find_words(part: Slice, separator: np.ndarray = IS_SEPARATOR, table: np.ndarray = WORD_TABLE) -> Words:
+    """Maximal runs of bytes that `separator` does not flag, hashed by `table`, in which separators must be zero.
+
+    By default `SEPARATORS` part the words and A-Z are hashed like a-z.
+    """
+    inside = ~separator[part.data]
     edge = np.zeros(len(inside) + 1, dtype=bool)
     edge[part.offsets] = True
     before = np.empty_like(inside)
@@ -124,7 +127,7 @@ def find_words(part: Slice) -> Words:
     firsts = np.searchsorted(starts, part.offsets)
     counts = np.diff(firsts)
     rows = np.repeat(np.arange(part.last - part.first), counts)
-    return Words(starts, ends, rows, span_hashes(part.data, starts, WORD_TABLE), counts)
+    return Words(starts, ends, rows, span_hashes(part.data, starts, table), counts)
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
