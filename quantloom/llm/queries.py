@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, fingerprints, jaccard, licenses, mixing, neighbours, ngram_lm, periodic_runs, preferences, ranking, token_rollup
+from . import bayes_dedup, bpe, fingerprints, jaccard, licenses, mixing, neighbours, ngram_lm, periodic_runs, preferences, ranking, token_rollup
 
 #: The vocabulary file of byte-level BPE; a parameter of the operator.
-BPE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
+BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 UPPER, LOWER = licenses.UPPER, licenses.LOWER
 
@@ -75,6 +76,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch_path(spark, "rollup"))
 
 
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
 
@@ -83,7 +88,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_fingerprints, op3_jaccard_join, op4_lm_scores, op5_quality, op6_licenses, op7_neighbours, op8_bpe,
-        op9_preferences, op10_token_counts, op13_periodic_runs,
+        op9_preferences, op10_token_counts, op12_near_dedup, op13_periodic_runs,
     )
 }
 
@@ -123,6 +128,24 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
+NEAR_DEDUP_SQL = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other),
+roots AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN roots USING (doc_id)
+"""
+
 _TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES.items())
 _WORDS = "list_filter(string_split_regex(translate({}, '" + UPPER + "', '" + LOWER + "'), '[^a-z0-9]+'), lambda x: x <> '')"
 LICENSE_SQL = rf"""
@@ -208,5 +231,5 @@ FROM versions GROUP BY source, lang, tokenizer
 
 SQL = {
     "op1_mix_sources": MIX_SQL, "op3_jaccard_join": JACCARD_SQL, "op6_licenses": LICENSE_SQL, "op7_neighbours": NEIGHBOURS_SQL,
-    "op9_preferences": PREFERENCE_SQL, "op10_token_counts": ROLLUP_SQL,
+    "op9_preferences": PREFERENCE_SQL, "op10_token_counts": ROLLUP_SQL, "op12_near_dedup": NEAR_DEDUP_SQL,
 }
