@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bayes_dedup, bpe, fingerprints, jaccard, licenses, mixing, neighbours, ngram_lm, periodic_runs, preferences, ranking, token_rollup
+from . import bayes_dedup, bpe, dual_tree_search, fingerprints, jaccard, licenses, mixing, neighbours, ngram_lm, periodic_runs, preferences, ranking, token_rollup
 
 #: The vocabulary file of byte-level BPE; a parameter of the operator.
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch_path(spark, "rollup"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -88,7 +92,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_fingerprints, op3_jaccard_join, op4_lm_scores, op5_quality, op6_licenses, op7_neighbours, op8_bpe,
-        op9_preferences, op10_token_counts, op12_near_dedup, op13_periodic_runs,
+        op9_preferences, op10_token_counts, op11_lexical_search, op12_near_dedup, op13_periodic_runs,
     )
 }
 
@@ -146,6 +150,25 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN roots USING (doc_id)
 """
 
+SEARCH_SQL = rf"""
+WITH given AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+lengths AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM given WHERE len(w) > 0),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+counts AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM given) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM counts CROSS JOIN totals GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id) CROSS JOIN totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 _TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES.items())
 _WORDS = "list_filter(string_split_regex(translate({}, '" + UPPER + "', '" + LOWER + "'), '[^a-z0-9]+'), lambda x: x <> '')"
 LICENSE_SQL = rf"""
@@ -231,5 +254,5 @@ FROM versions GROUP BY source, lang, tokenizer
 
 SQL = {
     "op1_mix_sources": MIX_SQL, "op3_jaccard_join": JACCARD_SQL, "op6_licenses": LICENSE_SQL, "op7_neighbours": NEIGHBOURS_SQL,
-    "op9_preferences": PREFERENCE_SQL, "op10_token_counts": ROLLUP_SQL, "op12_near_dedup": NEAR_DEDUP_SQL,
+    "op9_preferences": PREFERENCE_SQL, "op10_token_counts": ROLLUP_SQL, "op11_lexical_search": SEARCH_SQL, "op12_near_dedup": NEAR_DEDUP_SQL,
 }
