@@ -5,29 +5,35 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
-from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.backtest import Backtest
 from ..operators.labels import chronological_splits, forward_labels, prepare_features, split_summary, walk_forward_folds
 from ..operators.metrics import evaluate, factor_ic_report, oos_cumulative, oos_daily_returns, oos_totals, selection_guide
-from ..schemas import MODEL_COLUMNS, TARGET, column_names
+from ..schemas import FEATURES, MODEL_COLUMNS, TARGET, column_names
 from ..session import materialize
 from ..sinks.tables import replace_model_version, replace_table, upsert_table
 from .registry import registry_row
-from .trees import SEED, ensemble_predict, ensemble_weights, feature_importance, fit_models, walk_forward_predict
-
-MODEL_KINDS = {"lightgbm": GBTRegressionModel, "xgboost": GBTRegressionModel, "rf": RandomForestRegressionModel}
-
+from . import boosting
+from .trees import BOOSTED, SEED, ensemble_predict, ensemble_weights, feature_importance, fit_models, walk_forward_predict
 
 def save_models(models: dict, folder: str) -> None:
+    """Boosted models as tables of their nodes, the forest in `pyspark.ml`'s form."""
     for name, model in models.items():
-        model.write().overwrite().save(f"{folder}/{name}")
+        if name in BOOSTED:
+            model.save(SparkSession.active(), f"{folder}/{name}")
+        else:
+            model.write().overwrite().save(f"{folder}/{name}")
 
 
-def load_models(folder: str, names: Sequence[str] = tuple(MODEL_KINDS)) -> dict:
-    return {name: MODEL_KINDS[name].load(f"{folder}/{name}") for name in names}
+def load_models(folder: str, names: Sequence[str] = tuple(MODEL_COLUMNS)) -> dict:
+    spark = SparkSession.active()
+    return {
+        name: boosting.load(spark, f"{folder}/{name}", FEATURES, BOOSTED[name]) if name in BOOSTED else RandomForestRegressionModel.load(f"{folder}/{name}")
+        for name in names
+    }
 
 
 @dataclass(frozen=True)

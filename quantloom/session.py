@@ -71,6 +71,23 @@ def scratch_path(spark: SparkSession, name: str = "t") -> str:
     return f"{shared_dir(spark)}/quantloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop path and its file system, which is that of the data wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where, files = _file_system(spark, path)
+    return files.exists(where)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, ascending; none where there is no such folder."""
+    where, files = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write `df` once and read it back.
 
