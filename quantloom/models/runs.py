@@ -14,6 +14,7 @@ from ..operators.labels import chronological_splits, forward_labels, prepare_fea
 from ..operators.metrics import evaluate, factor_ic_report, oos_cumulative, oos_daily_returns, oos_totals, selection_guide
 from ..schemas import FEATURES, MODEL_COLUMNS, TARGET, column_names
 from ..session import materialize
+from ..sinks.snapshots import read_table
 from ..sinks.tables import replace_model_version, replace_table, upsert_table
 from .registry import registry_row
 from . import boosting
@@ -60,7 +61,7 @@ def _finish(
     }
     for name, report in reports.items():
         replace_table(report, f"{artifacts}/{name}")
-    stored = {name: spark.read.parquet(f"{artifacts}/{name}") for name in reports}
+    stored = {name: read_table(spark, f"{artifacts}/{name}") for name in reports}
     rows = scored.withColumn("model_version", F.lit(version)).select(*column_names("model_predictions"))
     replace_model_version(rows, f"{folder}/model_predictions", version)
     # A row for each of at most four splits.
@@ -68,7 +69,7 @@ def _finish(
     numbers = {f"{s}_{c}": float(row[c]) for s, row in by_split.items() for c in ("mse", "rmse", "ic", "rank_ic", "hit_rate") if row[c] is not None}
     row = registry_row(spark, version, split_summary(splits), params, numbers, artifacts)
     upsert_table(spark, f"{folder}/model_registry", row.withColumn("version_folder", F.lit(version)), ["model_version"], "version_folder")
-    predictions = spark.read.parquet(f"{folder}/model_predictions").where(F.col("model_version") == version)
+    predictions = read_table(spark, f"{folder}/model_predictions").where(F.col("model_version") == version)
     return ModelRun(version, artifacts, predictions.select(*column_names("model_predictions")), stored["metrics"], stored)
 
 

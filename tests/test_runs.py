@@ -8,6 +8,7 @@ from quantloom.models import runs as R
 from quantloom.models import trees as T
 from quantloom.operators.labels import forward_labels, prepare_features
 from quantloom.schemas import FEATURES
+from quantloom.sinks.snapshots import read_table
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +33,7 @@ def test_training_run_is_stored_and_read_back(spark, tables, tmp_path):
         run.predictions.select("date", "ticker", F.col("rf_pred").alias("stored")), ["date", "ticker"]
     )
     assert again.where("abs(rf_pred - stored) < 1e-12").count() == 48 * 12
-    registry = spark.read.parquet(f"{folder}/model_registry").collect()
+    registry = read_table(spark, f"{folder}/model_registry").collect()
     assert [r["model_version"] for r in registry] == ["v1"] and registry[0]["artifact_dir"] == run.artifact_dir
     assert {r["split"] for r in run.metrics.collect()} >= {"train", "validation"} and run.reports["ensemble_weights"].count() == 1
 
@@ -42,4 +43,4 @@ def test_walk_forward_run_reports_its_folds(spark, tables, tmp_path):
     folds = run.reports["folds"].orderBy("fold").collect()
     assert [f["train_rows"] for f in folds] == [12 * f["train_dates"] for f in folds]
     assert sum(f["prediction_rows"] for f in folds) == run.predictions.count()
-    assert spark.read.parquet(f"{tmp_path}/model_registry").count() == 1
+    assert read_table(spark, f"{tmp_path}/model_registry").count() == 1

@@ -6,6 +6,7 @@ import pytest
 from quantloom.operators import news as N
 from quantloom.schemas import SCORES, TABLES
 from quantloom.sinks import tables as K
+from quantloom.sinks.snapshots import read_table
 from quantloom.sources import landed as V
 from quantloom.sources import readers as C
 
@@ -111,7 +112,7 @@ def test_upsert_last_row_wins_and_other_partitions_stay(spark, tmp_path):
     schema = "date string, k int, v int, seq int"
     K.upsert_table(spark, path, spark.createDataFrame([("d1", 1, 1, 0), ("d2", 1, 1, 0)], schema), ["date", "k"], "date", "seq")
     K.upsert_table(spark, path, spark.createDataFrame([("d1", 1, 5, 1), ("d1", 1, 6, 2), ("d1", 2, 7, 3)], schema), ["date", "k"], "date", "seq")
-    assert sorted(tuple(r) for r in spark.read.parquet(path).select("date", "k", "v").collect()) == [("d1", 1, 6), ("d1", 2, 7), ("d2", 1, 1)]
+    assert sorted(tuple(r) for r in read_table(spark, path).select("date", "k", "v").collect()) == [("d1", 1, 6), ("d1", 2, 7), ("d2", 1, 1)]
     assert set(TABLES) >= {"daily_prices", "backtest_trades"}
 
 
@@ -120,7 +121,7 @@ def test_upsert_table_loses_no_row(spark, tmp_path):
     K.upsert_table(spark, path, spark.createDataFrame([("d1", "a", 1.0), ("d1", "b", 2.0), ("d2", "c", 3.0)], "d string, k string, v double"), ["k"], "d")
     K.upsert_table(spark, path, spark.createDataFrame([("x", "a", "d1", 9.0)], "more string, k string, d string, v double"), ["k"], "d")
     K.upsert_table(spark, path, spark.createDataFrame([("d3", "c")], "d string, k string"), ["k"], "d")
-    rows = spark.read.option("mergeSchema", True).parquet(path).orderBy("k").collect()
+    rows = read_table(spark, path).orderBy("k").collect()
     assert [(r["d"], r["k"], r["v"], r["more"]) for r in rows] == [("d1", "a", 9.0, "x"), ("d1", "b", 2.0, None), ("d3", "c", None, None)]
 
 
@@ -129,7 +130,7 @@ def test_an_empty_version_replaces_the_old_one(spark, tmp_path):
     K.replace_model_version(rows, path, "a")
     K.replace_model_version(rows, path, "b")
     K.replace_model_version(rows.limit(0), path, "b")
-    assert [r["model_version"] for r in spark.read.parquet(path).collect()] == ["a"]
+    assert [r["model_version"] for r in read_table(spark, path).collect()] == ["a"]
 
 
 def test_csv_with_quoted_newline_and_with_differing_headers(spark, tmp_path):
