@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clean_ticker, day_from_text, nonempty, pipe_sha256, session_and_effective_date
 from ..operators.quality import flag_suspicious_returns
 from ..schemas import column_names
+from .csv_records import read_csv
 
 UNIVERSE_HEADER = ["date", "ticker", "company", "entry_date", "exit_date", "gics_sector", "gics_industry", "source"]
 PRICE_HEADER = ["date", "ticker", "open", "high", "low", "close", "volume", "vwap", "adj_factor", "source"]
@@ -19,7 +20,6 @@ NEWS_FIELDS = (
 )
 TRUE_WORDS = ("1", "true", "yes", "y")
 OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
-MARK = "\ufeff"
 
 
 def _csv(spark: SparkSession, path: str, optional: list[str]) -> DataFrame:
@@ -27,13 +27,9 @@ def _csv(spark: SparkSession, path: str, optional: list[str]) -> DataFrame:
 
     The session reads case-insensitively, so a header such as `VIX` also answers to `vix`. All files of a folder must
     have one header: another order or other names fail the read instead of swapping columns. A quoted value may span
-    lines, so a file is read by one task; land large tables as many files.
+    lines; a large file is read by many tasks all the same (`csv_records`).
     """
-    raw = (
-        spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-        .option("multiLine", True).option("enforceSchema", False).csv(path)
-    )
-    named = raw.toDF(*[c.lstrip(MARK).strip() for c in raw.columns])
+    named = read_csv(spark, path)
     present = {c.lower() for c in named.columns}
     return named.withColumns({c: F.lit(None).cast("string") for c in optional if c.lower() not in present})
 
