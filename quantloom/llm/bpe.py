@@ -16,13 +16,14 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .words import SPAN_TABLE, Slice, span_hashes, text_slices
+from .words import SPAN_TABLE, Slice, freed, span_hashes, text_slices
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Unicode's White_Space characters (fixed values).
@@ -30,7 +31,9 @@ WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 #: Ends of contractions that are pieces of their own after an apostrophe (fixed values).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pieces whose tokens a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Bytes of text that are encoded at once; each takes some tens of bytes of memory meanwhile.
+PART_BYTES = 1 << 19
 NEVER = np.iinfo(np.int32).max
 #: Longest piece, in bytes, that is merged together with others.
 SHORT = 48
@@ -331,10 +334,15 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.ranks = dict(zip(vocabulary.pair_keys.tolist(), zip(vocabulary.pair_ranks.tolist(), vocabulary.pair_merged.tolist(), strict=True), strict=True))
         self.single = vocabulary.byte_tokens.tolist()
         self.forget()
 
+    @cached_property
+    def ranks(self) -> dict[int, tuple[int, int]]:
+        """Rank and result of every mergeable pair; made when the first long piece fails."""
+        v = self.v
+        return dict(zip(v.pair_keys.tolist(), zip(v.pair_ranks.tolist(), v.pair_merged.tolist(), strict=True), strict=True))
+
     def forget(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.first = np.zeros(0, dtype=np.int64)
@@ -417,7 +425,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", decoded: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for batch in batches:
-            for part in text_slices(batch.column(text_col)):
+            for part in text_slices(batch.column(text_col), PART_BYTES):
                 n = part.last - part.first
                 ids, bounds = encoder.encode(part)
                 packed = ids.astype("<u4").tobytes()
@@ -428,7 +436,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", decoded: bool
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", *["decoded"] * decoded])
 
     fields = [*docs.schema.fields, T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.StringType())] * decoded]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(freed(run), T.StructType(fields))
 
 
 def decode_ids(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -443,4 +451,4 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             texts = encoder.decode(np.concatenate(runs) if runs else np.zeros(0, np.int64), bounds)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*df.columns, "decoded"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
+    return df.mapInArrow(freed(run), T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -7,7 +7,9 @@ holds (one text that is longer makes a slice of its own).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -163,6 +165,25 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.concatenate(sets) if sets else np.zeros(0, _U)
 
 
+def freed(run: Callable) -> Callable:
+    """`run`, a function for `mapInArrow`, after which a worker gives its free memory back to the machine.
+
+    Spark keeps workers for later stages; without this each goes on to hold what its largest batch has taken.
+    """
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return released
+
+
 def list_array(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from offsets and values."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
