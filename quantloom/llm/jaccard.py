@@ -14,8 +14,9 @@ the same or the next band, and each band has its own H.
    in half as many, twice as long segments, each with its subset and all subsets with one element less. Two partners
    then differ by at most one element in one segment. A pair is found in an uncrowded segment, or both of its members
    have a crowded one and it is found in the second index, so no link is lost.
-4. *Checks.* Classes with a common key meet at the least class of that key. Groups are cut into chunks of bounded size
-   and every pair of chunks is one piece of work. First only short histograms of the sets are sent: two sets differ in at
+4. *Checks.* Classes with a common key meet at the least class of that key. Groups are cut into chunks of bounded size.
+   Each chunk by itself, with its group's least class, is one piece of work; that joins a large group of copies in linear
+   work. Only the groups that still don't hang together take the second index, or every pair of their chunks. First only short histograms of the sets are sent: two sets differ in at
    least as many elements as their histograms do, so members without any partner within reach drop out. For the rest
    a task multiplies incidence matrices of the sets and keeps the exact links, as a spanning forest. Pairs are never
    written as rows.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .graph import components
-from .words import find_words, list_array, mix64, shingle_sets, text_slices
+from .words import find_words, freed, list_array, mix64, shingle_sets, text_slices
 
 SIZE = 3
 PERCENT = 90
@@ -45,13 +46,15 @@ CHUNK_ELEMENTS = 1 << 18
 #: Shares of spare segments to choose from.
 SPARE = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)
 #: Classes that a task remembers to have indexed.
-SEEN = 200_000
+SEEN = 50_000
 #: Classes in a chunk of a group, at most about so many.
 CHUNK_CLASSES = 1024
 #: Buckets of a histogram of a set, a byte each.
 BUCKETS = 128
 #: Vocabulary columns multiplied at a time.
-COLUMNS = 4096
+COLUMNS = 2048
+#: Bytes of text whose sets are made at once.
+PART_BYTES = 1 << 20
 
 _U = np.uint64
 
@@ -153,7 +156,7 @@ def name_sets(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch.column("text")):
+            for part in text_slices(batch.column("text"), PART_BYTES):
                 offsets, tokens = shingle_sets(find_words(part), size)
                 hashes = [pa.array(_long(_set_hashes(offsets, tokens, salt))) for salt in (101, 211)]
                 sizes = np.diff(offsets)
@@ -176,7 +179,7 @@ def index_sets(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent, 1 << 20), set()
         for batch in batches:
-            for part in text_slices(batch.column("text")):
+            for part in text_slices(batch.column("text"), PART_BYTES):
                 offsets, tokens = shingle_sets(find_words(part), size)
                 sizes = np.diff(offsets)
                 if len(sizes) and sizes.max() * 2 > bands.high[-1]:
@@ -199,16 +202,16 @@ def index_sets(size: int, percent: int):
 
 
 def set_rows(size: int):
-    """For `mapInArrow` over (node, text): the class and its set."""
+    """For `mapInArrow` over (node, text): the class and its set; a text that isn't of the class, which took an equal key, is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch.column("text")):
+            for part in text_slices(batch.column("text"), PART_BYTES):
                 offsets, tokens = shingle_sets(find_words(part), size)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(part.first, part.last - part.first), list_array(offsets, _long(tokens), pa.int64())],
-                    names=["node", "elements"],
-                )
+                nodes = batch.column("node").slice(part.first, part.last - part.first)
+                own = pa.array(_long(_set_hashes(offsets, tokens, 101)) == nodes.to_numpy())
+                found = pa.RecordBatch.from_arrays([nodes, list_array(offsets, _long(tokens), pa.int64())], names=["node", "elements"])
+                yield found.filter(own)
 
     return run
 
@@ -390,47 +393,51 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     Words are split at ASCII white space, A-Z lower-cased; sets are distinct shingles of `size` words, fewer words make
     one shingle. NULL and empty texts have an empty set, link with nothing and are their own component. Repeated rows
     and equal texts are in one component; the result has as many rows as `docs`. A row without id shares its class's
-    component; where no row of a component has an id, component_id is NULL. Other columns of `docs` are ignored.
+    component; where no row of a component has an id, component_id is NULL. Several texts under one id are rows of their
+    own, each in the component of its text. Other columns of `docs` are ignored.
     Shingles and sets are compared by 64-bit and 128-bit hashes. An empty table gives an empty result.
     """
-    return near_components(docs, size, percent, id_col, text_col).drop("text_key")
+    return near_components(docs, size, percent, id_col, text_col).drop("text_key", "group", "leads")
 
 
 def text_key(doc_id: Column, text: Column) -> Column:
-    """What a row without id is known by: a hash of its text. NULL for a row with an id."""
-    return F.when(doc_id.isNull(), F.xxhash64(F.coalesce(text, F.lit(""))))
+    """What a row is known by: a hash of its id and text."""
+    return F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1)), doc_id.isNull(), F.coalesce(text, F.lit("")))
 
 
 def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`near_duplicates` with `text_key`, which tells rows without id apart."""
+    """`near_duplicates` with `text_key`, which tells texts of one id and rows without id apart.
+
+    Also `group`, a number of the component (NULL without words), and `leads`: whether the row is of the class that stands for its component, which is that of the least id, of
+    several texts under that id the one of the least set hash; in a component without ids the least text key.
+    """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(
         "doc_id", text_key(F.col("doc_id"), F.col("text")).alias("text_key"), "text"
     )
     # Sides that grow with the input are merged at every size, never broadcast where they happen to be small.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    indexed = materialize(given.mapInArrow(name_sets(size), "doc_id long, text_key long, n long, node long, check long, histogram binary"), "indexed")
+    indexed = materialize(given.mapInArrow(freed(name_sets(size)), "doc_id long, text_key long, n long, node long, check long, histogram binary"), "indexed")
     classes = materialize(
         indexed.where("n > 0").groupBy("node", "check", "n").agg(
             F.min("doc_id").alias("least_id"), F.min("text_key").alias("text_key"), F.min("histogram").alias("histogram")
         ),
         "classes",
     )
-    first = classes.select("node", F.col("least_id").alias("doc_id"), "text_key")
+    first = classes.select("node", "text_key")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = materialize(nodes.distinct().join(first.hint("merge"), "node"), "wanted")
+        keys = wanted.select("text_key").distinct().where("text_key > -9223372036854775808")  # with a condition, Spark takes the filter to be selective
         with filtered_scan(spark):
-            found = given.drop("text_key").join(wanted.drop("text_key").where("doc_id > -9000000000000000000").hint("merge"), "doc_id")  # with a condition, Spark takes the filter to be selective
-            texts = found.groupBy("doc_id", "node", F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text")).select("node", "text")
-            # Copies without id are one before the join, so none of their texts is a hot key.
-            nameless = given.where("doc_id is null").groupBy("text_key").agg(F.any_value("text").alias("text"))
-            texts = texts.union(nameless.join(wanted.where("doc_id is null").select("node", "text_key").hint("merge"), "text_key").select("node", "text"))
-            return materialize(texts.select("node", "text").mapInArrow(set_rows(size), "node long, elements array<long>"), "sets")
+            # Only rows of one id and one text have one key, and of those one text goes on.
+            texts = given.select("text_key", "text").join(keys.hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.any_value("text").alias("text"))
+            named = wanted.join(texts.hint("merge"), "text_key").select("node", "text")
+            return materialize(named.mapInArrow(freed(set_rows(size)), "node long, elements array<long>"), "sets")
 
     # One exchange serves the counts by key and the rows they are joined to.
     signatures = (
-        given.select("text").mapInArrow(index_sets(size, percent), "node long, n long, keys array<long>")
+        given.select("text").mapInArrow(freed(index_sets(size, percent)), "node long, n long, keys array<long>")
         .select("node", "n", F.explode("keys").alias("key")).where("key is not null and n is not null").repartition(parts, "key")
     )
     met = (
@@ -438,37 +445,59 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
         .where("hub < last").select("key", "hub", "most", (F.col("f") - 1 > 2 * F.col("most")).alias("crowded"))
     )
     members = materialize(signatures.join(met, "key").where("n <= most").select("node", "hub", "crowded").distinct(), "members")
+    key = ["hub", "a", "b"]
+    facts = classes.select("node", "n", "histogram")
+
+    def chunked(groups: DataFrame) -> DataFrame:
+        """(hub, node, chunk, chunks): the members of each group in chunks of bounded size."""
+        sized = groups.join(classes.select("node", "n").hint("merge"), "node")
+        chunks = sized.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_ELEMENTS, F.count("*") / CHUNK_CLASSES)).cast("long").alias("chunks"))
+        return sized.join(chunks, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "chunks")
+
+    def checked(pieces: DataFrame) -> DataFrame:
+        """The links in pieces given as (hub, a, b, node)."""
+        sketched = pieces.join(facts.hint("merge"), "node").select(*key, "node", F.concat("histogram", F.unhex(F.lpad(F.hex("n"), 16, "0"))).alias("sketch"))
+        near = materialize(
+            sketched.repartition(parts, *key).sortWithinPartitions(*key, "node").mapInArrow(freed(prune_groups(percent)), "hub long, a long, b long, node long"), "near"
+        )
+        full = near.join(sets_of(near.select("node")).hint("merge"), "node").repartition(parts, *key).sortWithinPartitions(*key, "node")
+        return materialize(full.mapInArrow(freed(check_groups(percent)), "a long, b long"), "links")
+
+    # Each chunk by itself first, with its group's least class: linear work, and enough for all but few large groups.
+    placed = materialize(chunked(members.select("node", "hub").distinct()), "placed")
+    alone = placed.select("hub", F.col("chunk").alias("a"), F.col("chunk").alias("b"), "node")
+    first_links = checked(alone.union(alone.select("hub", "a", "b", F.col("hub").alias("node")).distinct()).distinct())
+    joined_by = materialize(components(first_links), "joined")
+    # Groups of several chunks that don't hang together yet.
+    rooted = placed.where("chunks > 1").join(joined_by.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = materialize(rooted.groupBy("hub").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("hub"), "apart")
+    open_members = materialize(members.join(apart, "hub").select("node", "hub", "crowded").distinct(), "open")
     second = materialize(
-        sets_of(members.where("crowded").select("node")).mapInArrow(crowded_rows(percent), "node long, key long, exact boolean"), "deleted"
+        sets_of(open_members.where("crowded").select("node")).mapInArrow(freed(crowded_rows(percent)), "node long, key long, exact boolean"), "deleted"
     )
     meeting = (
         second.groupBy("key").agg(F.max("exact").alias("exact"), F.min("node").alias("hub"), F.max("node").alias("last"))
         .where("exact and hub < last").select("key", "hub")
     )
     groups = materialize(
-        members.where("not crowded").select("node", "hub").union(second.join(meeting, "key").select("node", "hub")).distinct(),
+        open_members.where("not crowded").select("node", "hub").union(second.join(meeting, "key").select("node", "hub")).distinct(),
         "groups",
     )
-    sized = groups.join(classes.select("node", "n", "histogram").hint("merge"), "node")
-    chunks = sized.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_ELEMENTS, F.count("*") / CHUNK_CLASSES)).cast("int").alias("chunks"))
-    placed = sized.join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("long"))
-    pieces = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))).select(
-        "hub", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node",
-        F.concat("histogram", F.unhex(F.lpad(F.hex("n"), 16, "0"))).alias("sketch"),
-    )
-    key = ["hub", "a", "b"]
-    near = materialize(
-        pieces.repartition(parts, *key).sortWithinPartitions(*key, "node").mapInArrow(prune_groups(percent), "hub long, a long, b long, node long"), "near"
-    )
-    links = (
-        near.join(sets_of(near.select("node")).hint("merge"), "node").repartition(parts, *key).sortWithinPartitions(*key, "node")
-        .mapInArrow(check_groups(percent), "a long, b long")
+    others = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    paired = chunked(groups).withColumn("other", F.explode(others)).select(
+        "hub", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node"
     )
+    links = first_links.union(checked(paired))
     roots = components(links)
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = joined.join(least, "root").select("node", "check", "component_id")
+    # NULL is the greatest here, so that a class with an id comes before those without.
+    order = F.struct(F.col("least_id").isNull(), F.coalesce("least_id", F.lit(0)), F.when(F.col("least_id").isNull(), F.col("text_key")).otherwise(F.col("node")))
+    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min(order).alias("leader"))
+    labels = joined.join(least, "root").select("node", "check", "component_id", "root", (order == F.col("leader")).alias("leads"))
     return (
         indexed.select("doc_id", "text_key", "n", "node", "check").join(labels, ["node", "check"], "left")
-        .select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select(
+            "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.col("root").alias("group"), F.coalesce("leads", F.lit(True)).alias("leads"),
+        )
     )

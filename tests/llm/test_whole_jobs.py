@@ -9,7 +9,8 @@ import pytest
 import corpus_pipeline
 from quantloom.llm import jaccard, mixing, ngram_lm, ranking
 
-from .test_operators import FOLD, WORD
+from .test_operators import FOLD, WORD, components_by_force
+from .test_operators import near_copies as near_texts
 
 
 def test_mixing_repeats_a_tiny_source_at_any_rate(spark, documents):
@@ -86,3 +87,43 @@ def test_near_copies_without_id_are_found_and_dropped(spark, documents):
     )
     kept = corpus_pipeline.near_copies(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "alone and without any id"), (7, left), (20, texts[4]), (30, "")]
+
+
+def test_unlike_texts_under_one_id(spark, documents):
+    """Classes are found by their own text, not by their id: two near pairs that cross in one id stay two components."""
+    w, v, q = (" ".join(f"{c}{i}" for i in range(120)) for c in "wvq")
+    near = lambda text: text + " end"
+    found = jaccard.near_duplicates(documents([w, near(w), near(v), v], [3, 7, 7, 20])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (7, 3), (7, 7), (20, 7)]
+    docs = documents([w, near(w), q], [3, 7, 7])
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [(3, w), (7, q)]
+    clash = docs.withColumnsRenamed({"hub": "row", "lang": "key", "key": "group"})
+    kept = corpus_pipeline.near_copies(spark, clash, "")
+    assert kept.columns == clash.columns and kept.count() == 2
+
+
+def test_a_frequent_id_with_many_texts(spark, documents):
+    """A third of the rows under one id: each text is fetched once, whatever the number of texts of its id."""
+    draw = np.random.Generator(np.random.PCG64(8))
+    texts = [" ".join(f"{i}x{x}" for x in draw.integers(0, 10**6, 40)) for i in range(60)]
+    near = [t + " end" for t in texts]
+    found = jaccard.near_duplicates(documents(texts + near + texts, [5] * 60 + list(range(100, 160)) + [5] * 60)).collect()
+    assert Counter(r.component_id for r in found) == {5: 180}
+
+
+def test_stages_on_empty_tables(spark, documents, labels_of, tmp_path):
+    none = documents(["x"]).limit(0)
+    labels_of([(1, 1, 0)]).limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
+def test_groups_of_many_chunks(documents, monkeypatch, size, percent):
+    """Chunks of three classes, so that chains, groups that hang together and groups that don't all take every way."""
+    monkeypatch.setattr(jaccard, "CHUNK_CLASSES", 3)
+    texts = near_texts(1, 40, 120, 6) + near_texts(2, 40, 30, 4)
+    words = [f"c{i}" for i in range(400)]
+    texts += [" ".join(words[k * 2 : k * 2 + 90]) for k in range(30)]
+    got = jaccard.near_duplicates(documents(texts), size, percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_force(texts, size, percent)
