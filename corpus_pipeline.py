@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import bpe, jaccard, mixing, queries, ranking
@@ -16,36 +16,36 @@ from quantloom.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the cut."""
+    """Documents whose quality score reaches the cut; without labels all. NULL and empty texts are scored like any other."""
     return ranking.accepted(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, Jaccard likeness 0.8 or more) the document with the least id.
+    """Of each component of near copies (five-word shingles, Jaccard likeness 0.8 or more) one row: that of the least id.
 
-    Texts without words are no copies of each other and all stay. Of repeated rows of the document that stays, one
-    stays. A row without id stays if no row of its component has one; of several such rows, one for each text.
+    Of several texts under that id in one component, and of a component without ids, the text of the least hash stays; of
+    repeated rows one. Unlike texts of one id are documents of their own. Texts without words are no copies of each
+    other and all stay.
     """
-    def keys(text_key: Column) -> list[Column]:
-        return [F.coalesce(F.col("doc_id").cast("long"), text_key).alias("_id"), F.col("doc_id").isNull().alias("_nameless")]
-
     found = jaccard.near_components(docs.select("doc_id", "text"), size=5, percent=80)
-    leaders = found.where("component_id is null or doc_id = component_id").select(*keys(F.col("text_key"))).distinct()
-    # Joined and grouped by the same key, so the texts are shuffled once.
-    keyed = docs.select("*", *keys(jaccard.text_key(F.col("doc_id"), F.col("text"))))
-    kept = keyed.join(leaders.hint("merge"), ["_id", "_nameless"], "left_semi")
-    empty = F.length(F.coalesce("text", F.lit(""))) == 0
-    first = kept.groupBy("_id", "_nameless", F.xxhash64("text").alias("_text"), F.when(empty, F.monotonically_increasing_id()).alias("_row"))
-    return first.agg(*[F.first(c).alias(c) for c in docs.columns]).select(*docs.columns)
+    leaders = found.where("n_shingles > 0 and leads and doc_id <=> component_id").groupBy("group").agg(F.min("text_key").alias("key")).select("key")
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # Joined and grouped by the same key, so the texts are shuffled once; whole rows travel in one column, whatever their names.
+    keyed = docs.where(worded).select(jaccard.text_key(F.col("doc_id"), F.col("text")).alias("key"), F.struct("*").alias("row"))
+    kept = keyed.join(leaders.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+    return kept.select("row.*").union(docs.where(~worded))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by Poisson draws so that a source's share goes with the square root of its volume."""
+    """Documents repeated by Poisson draws so that a source's share goes with the square root of its volume.
+
+    NULL is a source of its own, a NULL text an empty one; each of several equal rows is drawn by the same number.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document as digests, and their decoded text's digest."""
+    """Token ids of every document as digests, and their decoded text's digest; a NULL text is an empty one."""
     return queries.digests(bpe.round_trip(docs.select("doc_id", "text"), queries.BPE_FILE))
 
 
