@@ -444,13 +444,12 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
         signatures.groupBy("key").agg(F.count("*").alias("f"), F.min("node").alias("hub"), F.max("node").alias("last"), F.max("n").alias("most"))
         .where("hub < last").select("key", "hub", "most", (F.col("f") - 1 > 2 * F.col("most")).alias("crowded"))
     )
-    members = materialize(signatures.join(met, "key").where("n <= most").select("node", "hub", "crowded").distinct(), "members")
+    members = materialize(signatures.join(met, "key").where("n <= most").select("node", "n", "hub", "crowded").distinct(), "members")
     key = ["hub", "a", "b"]
     facts = classes.select("node", "n", "histogram")
 
-    def chunked(groups: DataFrame) -> DataFrame:
-        """(hub, node, chunk, chunks): the members of each group in chunks of bounded size."""
-        sized = groups.join(classes.select("node", "n").hint("merge"), "node")
+    def chunked(sized: DataFrame) -> DataFrame:
+        """(hub, node, chunk, chunks): the members (hub, node, n) of each group in chunks of bounded size."""
         chunks = sized.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_ELEMENTS, F.count("*") / CHUNK_CLASSES)).cast("long").alias("chunks"))
         return sized.join(chunks, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "chunks")
 
@@ -464,14 +463,14 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
         return materialize(full.mapInArrow(freed(check_groups(percent)), "a long, b long"), "links")
 
     # Each chunk by itself first, with its group's least class: linear work, and enough for all but few large groups.
-    placed = materialize(chunked(members.select("node", "hub").distinct()), "placed")
+    placed = materialize(chunked(members.select("node", "n", "hub").distinct()), "placed")
     alone = placed.select("hub", F.col("chunk").alias("a"), F.col("chunk").alias("b"), "node")
     first_links = checked(alone.union(alone.select("hub", "a", "b", F.col("hub").alias("node")).distinct()).distinct())
     joined_by = materialize(components(first_links), "joined")
     # Groups of several chunks that don't hang together yet.
     rooted = placed.where("chunks > 1").join(joined_by.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = materialize(rooted.groupBy("hub").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("hub"), "apart")
-    open_members = materialize(members.join(apart, "hub").select("node", "hub", "crowded").distinct(), "open")
+    open_members = materialize(members.join(apart, "hub").select("node", "n", "hub", "crowded").distinct(), "open")
     second = materialize(
         sets_of(open_members.where("crowded").select("node")).mapInArrow(freed(crowded_rows(percent)), "node long, key long, exact boolean"), "deleted"
     )
@@ -480,7 +479,9 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
         .where("exact and hub < last").select("key", "hub")
     )
     groups = materialize(
-        open_members.where("not crowded").select("node", "hub").union(second.join(meeting, "key").select("node", "hub")).distinct(),
+        open_members.where("not crowded").select("node", "n", "hub").union(
+            second.join(meeting, "key").join(open_members.select("node", "n").distinct(), "node").select("node", "n", "hub")
+        ).distinct(),
         "groups",
     )
     others = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
