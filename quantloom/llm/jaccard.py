@@ -480,7 +480,7 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     )
     groups = materialize(
         open_members.where("not crowded").select("node", "n", "hub").union(
-            second.join(meeting, "key").join(open_members.select("node", "n").distinct(), "node").select("node", "n", "hub")
+            second.join(meeting, "key").select("node", "hub").distinct().join(open_members.select("node", "n").distinct(), "node").select("node", "n", "hub")
         ).distinct(),
         "groups",
     )
