@@ -2,13 +2,15 @@
 
 A cross-section (all tickers of one date) grows with the data, so one date can be far larger than a task should
 sort. Each function first asks how large the largest group is (one partially aggregated count). Small groups take
-the plain window or the plain aggregate. Otherwise each group is cut into ordered slices of about `max_rows` rows,
-work is done per slice, and the slice totals, a handful of rows per group, are added back. Both ways give the same
-numbers. Slice bounds come from a sample chosen by a hash of the row key, so a re-run task sees the same bounds.
+the plain window or the plain aggregate. Otherwise Spark's range exchange deals the rows in order to partitions of
+at most about `max_rows` rows, which are written with the number of their partition; work is done per slice, and the
+slice totals, one row per slice, are added back. Both ways give the same numbers. Rows are ordered by their key after
+their value, so that a frequent value is spread over as many slices as its rows need.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,8 +23,6 @@ from ..session import materialize
 SLICE_ROWS = 2_000_000
 EXACT_QUANTILE_ROWS = 100_000
 BRACKET_SAMPLE = 20_000
-SAMPLES_PER_SLICE = 16
-SALTS = 64
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -40,22 +40,21 @@ def join_groups(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFram
     return df.alias("rows").join(totals.alias("totals"), _same(by, "rows", "totals"), "left").select("rows.*", *extra)
 
 
-def _slice_bounds(df: DataFrame, by: Sequence[str], sort_key: Column, row_key: Sequence[str], max_rows: int) -> DataFrame:
-    every = max(1, max_rows // SAMPLES_PER_SLICE)
-    sampled = df.where(F.pmod(F.xxhash64(*row_key), F.lit(every)) == 0)
-    points = F.sort_array(F.collect_list(sort_key))
-    cuts = F.filter(points, lambda point, i: F.pmod(i + 1, F.lit(SAMPLES_PER_SLICE)) == 0)
-    return sampled.groupBy(*by).agg(F.array_distinct(cuts).alias("_cuts"))
+def _dealt(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], max_rows: int) -> DataFrame:
+    """`df` in slices that follow each other in (`by`, `order`), written with the slice number in `_slice`.
 
-
-def _slice_offsets(sliced: DataFrame, by: Sequence[str]) -> DataFrame:
-    sizes = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_slice_rows"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(sizes.withColumn("_offset", F.coalesce(F.sum("_slice_rows").over(before), F.lit(0))), "offsets")
+    The table is written first, so the exchange samples and deals the same rows; twice as many slices as needed leave
+    room for the error of its sample.
+    """
+    stored = materialize(df, "rows")
+    slices = max(1, math.ceil(2 * stored.count() / max_rows))
+    return materialize(stored.repartitionByRange(slices, *by, *order).withColumn("_slice", F.spark_partition_id()), "slices")
 
 
-def _with_constant_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
+def _before(by: Sequence[str], rows: str) -> Column:
+    """Rows of the group in earlier slices, from one row per slice."""
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(rows).over(earlier), F.lit(0))
 
 
 def ordinal(
@@ -76,19 +75,11 @@ def ordinal(
     if largest <= max_rows:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(direction, *row_key)))
 
-    keyed, keys = _with_constant_group(materialize(df, "ordinal"), by)
-    signed = -known if descending else known
-    sort_key = F.struct(
-        known.isNull().alias("last"), F.coalesce(signed, F.lit(0).cast(kind)).alias("v"),
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(row_key)],
-    )
-    bounds = materialize(_slice_bounds(keyed, keys, sort_key, row_key, max_rows), "bounds")
-    sliced = join_groups(keyed, bounds, keys).withColumn("_key", sort_key)
-    passed = F.size(F.filter("_cuts", lambda cut: cut < F.col("_key")))
-    sliced = sliced.withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(passed))
-    offsets = _slice_offsets(sliced, keys)
-    local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy("_key"))
-    placed = join_groups(sliced.withColumn("_local", local), offsets, [*keys, "_slice"])
+    sliced = _dealt(df, by, [direction, *row_key], max_rows)
+    sizes = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = materialize(sizes.select(*by, "_slice", _before(by, "_rows").alias("_offset")), "offsets")
+    local = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(direction, *row_key))
+    placed = join_groups(sliced.withColumn("_local", local), offsets, [*by, "_slice"])
     return placed.select(*df.columns, (F.col("_offset") + F.col("_local")).cast("int").alias(out))
 
 
@@ -112,7 +103,6 @@ def average_rank(
             df = df.withColumn(value + suffix, F.when(known, mean_rank))
         return df
 
-    df = materialize(df, "ranks")
     for value in values:
         df = _sliced_average_rank(df, by, value, row_key, value + suffix, max_rows)
     return df
@@ -121,27 +111,34 @@ def average_rank(
 def _sliced_average_rank(
     df: DataFrame, by: Sequence[str], value: str, row_key: Sequence[str], out: str, max_rows: int
 ) -> DataFrame:
-    """Even slices lie between two cuts; odd slices hold rows equal to a cut, so a frequent value never shares a
-    sort: all its rows have one mean rank, known from the slice totals, and are spread over `SALTS` tasks."""
-    keyed, keys = _with_constant_group(df, by)
+    """Only the least and the greatest value of a slice can lie in other slices, too: their copies are added up over
+    the slices' edges. All other values are ranked inside their slice."""
     known = F.col(value).isNotNull()
-    bounds = materialize(_slice_bounds(keyed.where(known), keys, F.col(value), row_key, max_rows), "bounds")
-    sliced = join_groups(keyed, bounds, keys)
-    cuts = F.coalesce(F.col("_cuts"), F.array().cast(T.ArrayType(df.schema[value].dataType)))
-    pinned = known & F.coalesce(F.array_contains(cuts, F.col(value)), F.lit(False))
-    passed = F.size(F.filter(cuts, lambda cut: cut < F.col(value)))
-    sliced = sliced.withColumn("_slice", F.when(known, passed * 2 + F.when(pinned, 1).otherwise(0)).otherwise(-1))
-    offsets = _slice_offsets(sliced.where(known), keys)
-    spread = (F.col("_slice") < 0) | (F.pmod("_slice", F.lit(2)) == 1)
-    salt = F.when(spread, F.pmod(F.xxhash64(*row_key), F.lit(SALTS))).otherwise(0)
-    ordered = Window.partitionBy(*keys, "_slice", "_salt").orderBy(value)
+    sliced = _dealt(df, by, [F.col(value).asc_nulls_last(), *row_key], max_rows)
+    ends = sliced.where(known).groupBy(*by, "_slice").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high"),
+    )
+    ends = materialize(ends.withColumn("_offset", _before(by, "_rows")), "ends")
+    inside = join_groups(sliced.where(known), ends, [*by, "_slice"])
+    edges = inside.where((F.col(value) == F.col("_low")) | (F.col(value) == F.col("_high"))).groupBy(*by, "_slice", value).agg(
+        F.count(F.lit(1)).alias("_copies"),
+        F.max(F.when(F.col(value) == F.col("_low"), F.col("_offset")).otherwise(F.col("_offset") + F.col("_rows"))).alias("_end"),
+        F.max(F.col(value) == F.col("_low")).alias("_lowest"),
+    )
+    # Rows before a value: the offset where it is the least of its slice, else what its copies leave of the slice.
+    start = F.when(F.col("_lowest"), F.col("_end")).otherwise(F.col("_end") - F.col("_copies"))
+    whole = edges.groupBy(*by, value).agg(((F.sum("_copies") + 1) / F.lit(2.0) + F.min(start)).alias("_shared"))
+    shared = materialize(whole, "shared")
+    for end in ("_low", "_high"):
+        named = shared.select(*by, F.col(value).alias(end), F.col("_shared").alias(f"{end}_rank"))
+        ends = join_groups(ends, named, [*by, end])
+    ends = materialize(ends.drop("_rows"), "ends")
+    ordered = Window.partitionBy(*by, "_slice").orderBy(F.col(value).asc_nulls_last())
     peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)
     local = F.rank().over(ordered) + (F.count(F.lit(1)).over(peers) - 1) / F.lit(2.0)
-    placed = join_groups(
-        sliced.withColumn("_salt", salt).withColumn("_local", local), offsets, [*keys, "_slice"]
-    )
-    in_slice = F.when(spread, (F.col("_slice_rows") + 1) / F.lit(2.0)).otherwise(F.col("_local"))
-    return placed.select(*df.columns, F.when(known, F.col("_offset") + in_slice).alias(out))
+    placed = join_groups(sliced.withColumn("_local", local), ends, [*by, "_slice"])
+    rank = F.when(F.col(value) == F.col("_low"), F.col("_low_rank")).when(F.col(value) == F.col("_high"), F.col("_high_rank"))
+    return placed.select(*df.columns, F.when(known, rank.otherwise(F.col("_offset") + F.col("_local"))).alias(out))
 
 
 def group_quantiles(

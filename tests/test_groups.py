@@ -38,6 +38,23 @@ def test_average_rank(frame):
             assert np.allclose(ranked[f"{column}_rank"], expected, equal_nan=True)
 
 
+def test_ranks_over_many_slices(spark):
+    """A value longer than several slices, a constant group, NULL values, a NULL group and a group within one slice."""
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({"d": ["a"] * 700 + ["b"] * 400 + [None] * 300 + ["c"] * 7, "k": np.arange(1407)})
+    data["v"] = np.where(rng.random(1407) < 0.6, 3.0, rng.integers(0, 6, 1407).astype(float))
+    data.loc[data.d == "b", "v"] = -0.0
+    data.loc[rng.random(1407) < 0.1, "v"] = np.nan
+    frame = spark.createDataFrame(data.astype({"d": object})).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    ranked = G.average_rank(frame, ["d"], ["v"], ["k"], max_rows=40).orderBy("k").toPandas()
+    assert np.allclose(ranked["v_rank"], data.groupby("d", dropna=False)["v"].rank(), equal_nan=True)
+    pooled = G.average_rank(frame, [], ["v"], ["k"], max_rows=40).orderBy("k").toPandas()
+    assert np.allclose(pooled["v_rank"], data["v"].rank(), equal_nan=True)
+    place = G.ordinal(frame, ["d"], "v", ["k"], "r", max_rows=40).orderBy("k").toPandas().r
+    expected = data.sort_values(["v", "k"], ascending=[False, True]).groupby("d", dropna=False).cumcount() + 1
+    assert (place.to_numpy() == expected.sort_index().to_numpy()).all()
+
+
 def test_quantiles(frame, monkeypatch):
     monkeypatch.setattr(G, "BRACKET_SAMPLE", 60)
     data = frame[0]
