@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_ticker, rolling
 from ..schemas import PREDICTION
+from ..session import materialize
 from .groups import SLICE_ROWS, ordinal
 
 LOWEST_CAP = 0.001
@@ -32,8 +33,12 @@ def as_column(value: float | str | Column) -> Column:
 
 
 def with_group_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join facts with one row per (candidate, date); Spark broadcasts them where their size allows."""
-    return df.join(facts, list(keys))
+    """Join facts with one row per (candidate, date).
+
+    They are written once: Spark then knows their size and broadcasts them below its threshold, so that the rows stay
+    where they are; above it both sides are merged.
+    """
+    return df.join(materialize(facts, "facts"), list(keys))
 
 
 def select_predictions(
@@ -193,7 +198,7 @@ def build_signals(
     target_exposure: float = 1.0, pred: str = PREDICTION, max_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """All predictions with their rank; selected ones carry a weight and, if it is above zero, a long signal."""
-    ranked = rank_and_select(predictions, top_pct, pred=pred, max_rows=max_rows)
+    ranked = materialize(rank_and_select(predictions, top_pct, pred=pred, max_rows=max_rows), "ranked")
     weighted = min_weight_refill(
         score_weights(ranked.where("selected"), pred=pred), cap=float(max_weight), min_weight=min_weight,
         exposure=target_exposure,
