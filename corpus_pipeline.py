@@ -41,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     NULL is a source of its own, a NULL text an empty one; each of several equal rows is drawn by the same number.
     """
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mixed_rows(docs).select("mix_row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,13 +64,21 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
 
     `weights` has (source, weight); a source that it lacks gets none, repeated rows add up. A NULL source is a source
     of its own, a NULL text counts as empty. Repeated rows have equal ids and so equal numbers of copies; a row without
-    id takes its number from its text. Other columns are carried along; `docs` must not have copy_no or shuffle_key.
+    id takes its number from its text. Other columns are carried along, whatever their names; copy_no and shuffle_key of
+    `docs` itself give way to the operator's.
     An empty table gives an empty result. Only volumes are summed by source (partial sums), so a hot source is no
     hot task; the table of rates is joined as a stored table, whose size Spark knows.
     """
+    own = [f"mix_row.`{c}`" for c in docs.columns if c.lower() not in ("copy_no", "shuffle_key")]
+    return mixed_rows(docs, weights, temperature, epochs, seed).select(*own, "copy_no", "shuffle_key")
+
+
+def mixed_rows(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
+    """`mix` with the whole row of `docs` in the one column mix_row, so that no name of it meets another."""
     rates = target_rates(docs, weights, temperature, epochs)
-    identity = F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(docs["text"], F.lit(""))))))
-    drawn = docs.join(rates, docs["source"].eqNullSafe(rates["mix_source"]))
+    doc_id, text = F.col("mix_row.doc_id").cast("string"), F.coalesce("mix_row.text", F.lit(""))
+    identity = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id, F.concat(F.lit("text "), F.md5(text))))
+    drawn = docs.select(F.struct("*").alias("mix_row")).join(rates, F.col("mix_row.source").eqNullSafe(F.col("mix_source")))
     # The first part's number is the hash of the id alone.
     numbers = F.transform(
         F.sequence(F.lit(1), F.col("mix_parts")),
@@ -79,4 +87,4 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     copies = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter("steps", lambda c: c <= u)))
     repeated = drawn.withColumn("mix_copies", copies).withColumn("copy_no", F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies")))))
     keyed = repeated.withColumn("shuffle_key", F.md5(F.concat(identity, F.lit(":"), F.col("copy_no").cast("string"))))
-    return keyed.select(*docs.columns, "copy_no", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed.select("mix_row", "copy_no", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
