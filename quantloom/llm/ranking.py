@@ -26,6 +26,8 @@ SAMPLE = 20_000
 PARTNERS = 8
 #: Distinct utilities that are gathered at once when a quantile is looked for, and cells that narrow it down to them.
 BRACKET = 4096
+#: Bits of the hash of an id that make a cell of counts.
+CELL_BITS = 14
 RIDGE = 1e-3
 STEPS = 40
 CUT = 0.7
@@ -192,15 +194,26 @@ def between(values: DataFrame, at: int) -> float:
     return sum(found[int(np.searchsorted(reach, place))][0] for place in (at, at + 1)) / 2
 
 
+def first_by_hash(rows: DataFrame, sample: int) -> DataFrame:
+    """The first `sample` rows of (doc_id, features, ...) by the hash of their id, as a written table.
+
+    Counts in equal cells of the hash tell up to where rows are wanted; only those are ordered, by tasks, so that the
+    driver gets counts and `sample` rows however many partitions there are.
+    """
+    cell = F.shiftright(F.xxhash64("doc_id"), 64 - CELL_BITS)
+    counts = sorted(tuple(r) for r in rows.groupBy(cell.alias("cell")).count().collect())
+    reach = np.cumsum([n for _, n in counts])
+    at = int(np.searchsorted(reach, sample))
+    wanted = rows.where(cell <= counts[at][0]) if at < len(counts) else rows
+    return materialize(wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample), "sample")
+
+
 def learn(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     """Weights fitted on at most `sample` labelled training rows of each label, taken by the hash of their id; the threshold
     is that of all labelled training rows."""
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     rows = materialize(measured.join(known, "doc_id").where(training_rows(F.col("doc_id"))), "labelled")
-    parts = [
-        rows.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).select("features", "quality").toPandas()
-        for label in (0, 1)
-    ]
+    parts = [first_by_hash(rows.where(F.col("quality") == label), sample).select("features", "quality").toPandas() for label in (0, 1)]
     labels_found = np.concatenate([p["quality"].to_numpy(dtype=int) for p in parts])
     features = [np.stack(p["features"].to_numpy()) for p in parts if len(p)]
     model = fit(np.concatenate(features) if features else np.zeros((0, len(FEATURES))), labels_found)
