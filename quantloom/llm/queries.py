@@ -69,7 +69,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.format_pairs(preferences.neighbouring_pairs(table(spark, sf_dir, "conversations")))
+    return preferences.format_pairs(preferences.exchanged_endings(table(spark, sf_dir, "conversations")))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,24 +219,32 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
 
 PREFERENCE_SQL = f"""
 WITH given AS (
-  SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, coalesce(turn, -1) AS turn,
-    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  SELECT conv_id AS pair_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+endings AS (
+  SELECT pair_id, turn, text FROM given WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC) = 1),
+met AS (
+  SELECT g.*, coalesce(g.role = 'assistant' AND g.turn = e.turn AND g.text = e.text, false) AS is_last, o.text AS ending
+  FROM given g LEFT JOIN endings e ON e.pair_id = g.pair_id LEFT JOIN endings o ON o.pair_id = xor(g.pair_id, 1)),
+paired AS (
+  SELECT pair_id, 'chosen' AS side, turn, role, text FROM met
+  UNION ALL SELECT pair_id, 'rejected', turn, role, CASE WHEN is_last THEN ending ELSE text END FROM met WHERE NOT is_last OR ending IS NOT NULL),
 sides AS (
-  SELECT pair_id, turn, role, text, bool_or(side = 'chosen') AS c, bool_or(side = 'rejected') AS r FROM given GROUP BY ALL),
+  SELECT pair_id, turn, role, text, bool_or(side = 'chosen') AS c, bool_or(side = 'rejected') AS r FROM paired GROUP BY ALL),
 parting AS (SELECT pair_id, min(turn) AS parting FROM sides WHERE NOT (c AND r) GROUP BY pair_id),
 placed AS (
   SELECT s.pair_id, turn, role, text, 'prompt' AS part FROM sides s LEFT JOIN parting p USING (pair_id) WHERE parting IS NULL OR turn < parting
   UNION ALL SELECT s.pair_id, turn, role, text, 'chosen' FROM sides s JOIN parting p USING (pair_id) WHERE turn >= parting AND c
   UNION ALL SELECT s.pair_id, turn, role, text, 'rejected' FROM sides s JOIN parting p USING (pair_id) WHERE turn >= parting AND r),
 shown AS (
-  SELECT *, CAST(floor(turn / {preferences.CHUNK}) AS BIGINT) AS chunk, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown FROM placed),
+  SELECT *, (row_number() OVER (PARTITION BY pair_id, part, chunk ORDER BY turn, role, text) - 1) // {preferences.CHUNK} AS piece FROM (
+    SELECT *, CAST(floor(turn / {preferences.CHUNK}) AS BIGINT) AS chunk, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown FROM placed)),
 run AS (
-  SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, part, chunk ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, part, chunk, piece ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
     + length(role) + 5 AS b FROM shown)
-SELECT pair_id, part, chunk, count(*) AS n_turns, string_agg(shown, '' ORDER BY turn, role, text) AS text,
+SELECT pair_id, part, chunk, piece, count(*) AS n_turns, string_agg(shown, '' ORDER BY turn, role, text) AS text,
   coalesce(string_agg(CAST(CAST(b AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(b + length(text) + 7 AS BIGINT) AS VARCHAR), ' ' ORDER BY turn, role, text)
     FILTER (WHERE role = 'assistant' AND part <> 'prompt'), '') AS loss_spans
-FROM run GROUP BY pair_id, part, chunk
+FROM run GROUP BY pair_id, part, chunk, piece
 """
 
 ROLLUP_SQL = r"""
