@@ -2,24 +2,22 @@
 
 Totals are sums, so a change of a document is a few signed numbers: an insert adds its counts, a delete takes them away, a
 revision takes away the old and adds the new. A batch of changes is summed by source, language and tokenizer version,
-and written as one folder named by the batch. Writing the same batch again overwrites that folder with the same
-numbers, and a batch that fails half-way leaves none that counts, so commits are idempotent. Totals are the sum over all
-committed batches; compacting replaces many folders by one.
+written to files of its own, and counts from the moment that one entry with its name is added to the table's log. A batch
+whose name is there already changes nothing, and one that fails half-way leaves files that no entry names, so commits are
+idempotent and no replay can lose a batch. Totals are the sum over all committed batches; compacting replaces their
+files by one set of sums, in one entry, and the names stay known.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import materialize
+from ..sinks import snapshots
 
 KEYS = ("source", "lang", "tokenizer")
 MEASURES = ("documents", "tokens", "characters")
-SCHEMA = T.StructType(
-    [*(T.StructField(k, T.StringType()) for k in KEYS), *(T.StructField(m, T.LongType()) for m in MEASURES), T.StructField("batch", T.StringType())]
-)
 
 
 def white_space_tokens(text: Column) -> Column:
@@ -48,16 +46,25 @@ def changes(counts: DataFrame, sign: int, tokenizer: str) -> DataFrame:
     )
 
 
-def commit(path: str, batch: str, rows: DataFrame) -> None:
-    """Sum a batch of signed rows and write it under its name; committing a batch again changes nothing.
+def summed(rows: DataFrame) -> DataFrame:
+    """Measures added by key."""
+    return rows.groupBy(*KEYS).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
+
+
+def commit(path: str, batch: str, rows: DataFrame) -> bool:
+    """Sum a batch of signed rows and append it under its name; whether it was new. A batch that counts already stays as it is.
 
     Sums are partial before they are shuffled, so a hot source costs no hot task. Groups that cancel out are kept as
     zeros. A batch without rows is written too, as a batch of none.
     """
     if not batch or not all(c.isalnum() or c in "-_" for c in batch):
         raise ValueError("a batch name has letters, digits, - and _")
-    summed = rows.groupBy(*KEYS).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
-    summed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return snapshots.append_batch(summed(rows), path, batch)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Replace the files of all committed batches by their sums, in one commit."""
+    snapshots.compact(spark, path, summed)
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
@@ -65,9 +72,7 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
 
     NULL sources and languages are groups of their own.
     """
-    stored = spark.read.schema(SCHEMA).parquet(path)
-    summed = stored.groupBy(*KEYS).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
-    return summed.where("documents <> 0 or tokens <> 0 or characters <> 0")
+    return summed(snapshots.read_table(spark, path)).where("documents <> 0 or tokens <> 0 or characters <> 0")
 
 
 def maintain(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
