@@ -142,7 +142,9 @@ def _filled(raw: Column, ticker: Column) -> Column:
     last = fact("_last_capped")
     above = (raw > last.getField("_raw")) | ((raw == last.getField("_raw")) & (ticker <= last.getField("ticker")))
     equal = F.least(fact("_cap"), F.try_divide(fact("_rest"), fact("_n") - fact("_k")))
-    shared = F.try_divide(fact("_rest") * raw, fact("_rest_raw"))
+    # The facts and the rows may be computed apart, and a sum of doubles depends on the order of its rows: a capped name
+    # whose raw weight came out one bit smaller here is not `above`. Its share of the rest is beyond the cap, though.
+    shared = F.least(fact("_cap"), F.try_divide(fact("_rest") * raw, fact("_rest_raw")))
     return (
         F.when((fact("_k") > 0) & F.coalesce(above, F.lit(False)), fact("_cap"))
         .when(fact("_rest") <= TINY, 0.0)

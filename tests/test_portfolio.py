@@ -84,6 +84,20 @@ def test_dropped_names_are_refilled_when_the_kept_are_full(spark):
     assert weights == pytest.approx({"t0": 0.3, "t1": 0.3, "t2": 0.2, "t3": 0.2})
 
 
+def test_weights_computed_apart_from_their_facts_stay_under_the_cap(spark):
+    """Raw weights are shares of a sum of doubles; computed again, that sum may differ in its last bit."""
+    raw = [0.5, 0.4999995, 5e-7]
+    kind = "date date, ticker string, raw_weight double"
+    day = dt.date(2020, 1, 1)
+    for turned in (0, 1, 2):
+        facts_from = [(day, f"t{i}", w) for i, w in enumerate(raw)]
+        rows_from = [(day, f"t{i}", float(np.nextafter(w, 0.0)) if turned == 1 else float(np.nextafter(w, 1.0)) if turned else w) for i, w in enumerate(raw)]
+        facts = P._fill_facts(spark.createDataFrame(facts_from, kind), ["date"], "raw_weight", P.as_column(0.4), P.as_column(1.0), 0.4)
+        rows = spark.createDataFrame(rows_from, kind).join(facts, "date")
+        found = {r["ticker"]: r["w"] for r in rows.withColumn("w", P._filled(rows["raw_weight"], rows["ticker"])).collect()}
+        assert found == pytest.approx({"t0": 0.4, "t1": 0.4, "t2": 0.2}, rel=1e-9)
+
+
 @pytest.fixture(scope="module")
 def market(spark):
     """Eight names and the market over 60 days; some bars are missing, volumes make one name illiquid."""
