@@ -25,9 +25,14 @@ WIDE_SOURCE = "yfinance"
 WIDE_FIELDS = ("Open", "High", "Low", "Close", "Volume")
 
 
-def _first_text(payload: Column, *paths: str) -> Column:
-    """The first non-empty of several JSON paths. Objects count as their JSON text; an empty object is empty."""
-    return F.coalesce(*[F.nullif(nonempty(F.get_json_object(payload, path)), F.lit("{}")) for path in paths])
+#: Members looked up at the root of a payload and in its `content` object, one parse each.
+ROOT_MEMBERS = ("content", "title", "summary", "publisher", "link", "providerPublishTime")
+ARTICLE_MEMBERS = ("title", "summary", "description", "provider", "clickThroughUrl", "canonicalUrl", "pubDate", "providerPublishTime")
+
+
+def _first_text(*values: str) -> Column:
+    """The first non-empty of several columns. Objects count as their JSON text; an empty object is empty."""
+    return F.coalesce(*[F.nullif(nonempty(F.col(value)), F.lit("{}")) for value in values])
 
 
 def _member_or_text(value: Column, member: str) -> Column:
@@ -40,16 +45,15 @@ def normalize_nested_news(landed: DataFrame, payload: str = "payload") -> DataFr
 
     Fields are looked up in the `content` object if there is one, else at the root.
     """
-    raw = F.col(payload)
-    nested = F.get_json_object(raw, "$.content")
-    found = landed.withColumn("_in", F.when(nested.startswith("{"), nested).otherwise(raw)).withColumns({
-        "title": F.coalesce(_first_text(F.col("_in"), "$.title"), _first_text(raw, "$.title")),
-        "_summary": F.coalesce(_first_text(F.col("_in"), "$.summary", "$.description"), _first_text(raw, "$.summary")),
-        "_provider": F.coalesce(_first_text(F.col("_in"), "$.provider"), _first_text(raw, "$.publisher")),
-        "_link": F.coalesce(_first_text(F.col("_in"), "$.clickThroughUrl", "$.canonicalUrl"), _first_text(raw, "$.link")),
-        "_time": F.coalesce(
-            _first_text(F.col("_in"), "$.pubDate", "$.providerPublishTime"), _first_text(raw, "$.providerPublishTime")
-        ),
+    root = landed.select("*", F.json_tuple(payload, *ROOT_MEMBERS).alias(*[f"_root_{m}" for m in ROOT_MEMBERS]))
+    article = F.when(F.col("_root_content").startswith("{"), F.col("_root_content")).otherwise(F.col(payload))
+    members = root.select("*", F.json_tuple(article, *ARTICLE_MEMBERS).alias(*[f"_in_{m}" for m in ARTICLE_MEMBERS])).drop("_root_content", payload)
+    found = members.withColumns({
+        "title": _first_text("_in_title", "_root_title"),
+        "_summary": _first_text("_in_summary", "_in_description", "_root_summary"),
+        "_provider": _first_text("_in_provider", "_root_publisher"),
+        "_link": _first_text("_in_clickThroughUrl", "_in_canonicalUrl", "_root_link"),
+        "_time": _first_text("_in_pubDate", "_in_providerPublishTime", "_root_providerPublishTime"),
     }).where(F.col("title").isNotNull())
     epoch = F.convert_timezone(
         F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(F.col("_time").try_cast("double")).cast("timestamp_ntz")
@@ -76,11 +80,19 @@ def normalize_nested_news(landed: DataFrame, payload: str = "payload") -> DataFr
 def limit_new_per_ticker(landed: DataFrame, limit_per_ticker: int = 10, payload: str = "payload") -> DataFrame:
     """News rows from the first `limit_per_ticker` articles of each ticker, each `news_id` once, first seen first.
 
-    `landed` has `ticker`, `seq` (order of arrival) and `payload`. Both row limits are applied before the shuffle too.
+    `landed` has `ticker`, `seq` (order of arrival) and `payload`. The last arrival that counts is found for each ticker from
+    tickers and numbers alone and sent to all tasks, as tickers are bounded; only articles up to it are shuffled.
     """
     tidy = landed.withColumn("ticker", vendor_ticker(F.col("ticker"))).where(F.col("ticker") != "")
     arrival = Window.partitionBy("ticker").orderBy("seq")
-    first = tidy.withColumn("_rn", F.row_number().over(arrival)).where(F.col("_rn") <= limit_per_ticker).drop("_rn")
+    last = (
+        tidy.select("ticker", "seq").withColumn("_rn", F.row_number().over(arrival)).where(F.col("_rn") == limit_per_ticker)
+        .select(F.col("ticker").alias("_full"), F.col("seq").alias("_last"))
+    )
+    # NULL arrives first; a ticker with fewer articles keeps all.
+    early = F.col("_full").isNull() | F.col("seq").isNull() | (F.col("seq") <= F.col("_last"))
+    within = tidy.join(F.broadcast(last), F.col("ticker") == F.col("_full"), "left").where(early).drop("_full", "_last")
+    first = within.withColumn("_rn", F.row_number().over(arrival)).where(F.col("_rn") <= limit_per_ticker).drop("_rn")
     news = normalize_nested_news(first, payload)
     seen = Window.partitionBy("news_id").orderBy("seq", "ticker")
     once = news.withColumn("_rn", F.row_number().over(seen)).where("_rn = 1")
