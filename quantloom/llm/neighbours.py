@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-QUERY_BLOCK = 512
+#: Rows of a block. Query blocks are copied once for each candidate block and the other way round, so that blocks of one
+#: size send the fewest rows.
+QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 4096
 #: Queries multiplied at a time.
 ROWS = 64
@@ -148,7 +150,9 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_i
     )
     right = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tiles = left.join(right, ["q_block", "block", "dim"]).repartition(parts, "q_block", "block")
+    tile = ["q_block", "block", "dim"]
+    # Spark knows the size of the blocks but not that of their copies, so that it would broadcast any number of these.
+    tiles = left.repartition(parts, *tile).hint("merge").join(right.repartition(parts, *tile), tile)
     found = tiles.select("dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
