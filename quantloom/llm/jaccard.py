@@ -16,7 +16,8 @@ the same or the next band, and each band has its own H.
    have a crowded one and it is found in the second index, so no link is lost.
 4. *Checks.* Classes with a common key meet at the least class of that key. Groups are cut into chunks of bounded size.
    Each chunk by itself, with its group's least class, is one piece of work; that joins a large group of copies in linear
-   work. Only the groups that still don't hang together take the second index, or every pair of their chunks. First only short histograms of the sets are sent: two sets differ in at
+   work. A class first goes to one group only, that of the least class it meets, and to its other groups where their
+   members don't hang together yet. Only the groups that still don't take the second index, or every pair of their chunks. First only short histograms of the sets are sent: two sets differ in at
    least as many elements as their histograms do, so members without any partner within reach drop out. For the rest
    a task multiplies incidence matrices of the sets and keeps the exact links, as a spanning forest. Pairs are never
    written as rows.
@@ -428,7 +429,8 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = materialize(nodes.distinct().join(first.hint("merge"), "node"), "wanted")
-        keys = wanted.select("text_key").distinct().where("text_key > -9223372036854775808")  # with a condition, Spark takes the filter to be selective
+        # With a condition, Spark takes the filter to be selective; it makes none of an aggregate, as distinct() would be.
+        keys = wanted.select("text_key").where("text_key > -9223372036854775808")
         with filtered_scan(spark):
             # Only rows of one id and one text have one key, and of those one text goes on.
             texts = given.select("text_key", "text").join(keys.hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.any_value("text").alias("text"))
@@ -448,9 +450,12 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     key = ["hub", "a", "b"]
     facts = classes.select("node", "n", "histogram")
 
+    def chunk_count() -> Column:
+        return F.ceil(F.greatest(F.sum("n") / CHUNK_ELEMENTS, F.count("*") / CHUNK_CLASSES)).cast("long")
+
     def chunked(sized: DataFrame) -> DataFrame:
         """(hub, node, chunk, chunks): the members (hub, node, n) of each group in chunks of bounded size."""
-        chunks = sized.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_ELEMENTS, F.count("*") / CHUNK_CLASSES)).cast("long").alias("chunks"))
+        chunks = sized.groupBy("hub").agg(chunk_count().alias("chunks"))
         return sized.join(chunks, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "chunks")
 
     def checked(pieces: DataFrame) -> DataFrame:
@@ -462,14 +467,28 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
         full = near.join(sets_of(near.select("node")).hint("merge"), "node").repartition(parts, *key).sortWithinPartitions(*key, "node")
         return materialize(full.mapInArrow(freed(check_groups(percent)), "a long, b long"), "links")
 
-    # Each chunk by itself first, with its group's least class: linear work, and enough for all but few large groups.
-    placed = materialize(chunked(members.select("node", "n", "hub").distinct()), "placed")
-    alone = placed.select("hub", F.col("chunk").alias("a"), F.col("chunk").alias("b"), "node")
-    first_links = checked(alone.union(alone.select("hub", "a", "b", F.col("hub").alias("node")).distinct()).distinct())
-    joined_by = materialize(components(first_links), "joined")
+    def alone(placed: DataFrame) -> DataFrame:
+        """Each chunk by itself, with its group's least class: linear work, and enough for all but few large groups."""
+        rows = placed.select("hub", F.col("chunk").alias("a"), F.col("chunk").alias("b"), "node")
+        return rows.union(rows.select("hub", "a", "b", F.col("hub").alias("node")).distinct()).distinct()
+
+    def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+        joined_by = materialize(components(links), "joined")
+        return rows.join(joined_by.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    # Near copies share a key in nearly every segment, each with a least class of its own; one such group joins most of them.
+    sized = members.select("node", "n", "hub").distinct()
+    own = sized.groupBy("node").agg(F.min("hub").alias("own"))
+    owned = materialize(sized.join(own.hint("merge"), "node").select("node", "n", "hub", (F.col("hub") == F.col("own")).alias("is_own")), "owned")
+    own_links = checked(alone(chunked(owned.where("is_own").select("node", "n", "hub"))))
+    apart = F.min("root") < F.max("root")
+    # A group that was checked whole, in one piece, has no more links to find.
+    whole = F.bool_and(F.col("is_own") | (F.col("node") == F.col("hub"))) & (chunk_count() == 1)
+    left = rooted(owned, own_links).groupBy("hub").agg(apart.alias("apart"), whole.alias("whole")).where("apart and not whole").select("hub")
+    placed = materialize(chunked(owned.select("node", "n", "hub").join(left, "hub")), "placed")
+    first_links = own_links.union(checked(alone(placed)))
     # Groups of several chunks that don't hang together yet.
-    rooted = placed.where("chunks > 1").join(joined_by.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = materialize(rooted.groupBy("hub").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("hub"), "apart")
+    apart = materialize(rooted(placed.where("chunks > 1"), first_links).groupBy("hub").agg(apart.alias("apart")).where("apart").select("hub"), "apart")
     open_members = materialize(members.join(apart, "hub").select("node", "n", "hub", "crowded").distinct(), "open")
     second = materialize(
         sets_of(open_members.where("crowded").select("node")).mapInArrow(freed(crowded_rows(percent)), "node long, key long, exact boolean"), "deleted"

@@ -1,8 +1,39 @@
 """What near copies and neighbours send between tasks grows with their rows."""
 
+import random
+
 import numpy as np
 
-from quantloom.llm import neighbours
+from quantloom.llm import jaccard, neighbours
+
+
+def near_copies_of(n, words=400, edits=8):
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(5000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for place in draw.sample(range(words), edits):
+            own[place] = f"x{draw.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_near_copies_go_to_one_group_first(spark, documents, monkeypatch):
+    checked, write = [], jaccard.materialize
+
+    def spy(df, name="t"):
+        done = write(df, name)
+        if name == "near":
+            checked.append(done.count())
+        return done
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    others = [" ".join(f"o{i}_{j}" for j in range(50)) for i in range(20)]
+    rows = jaccard.near_duplicates(documents(near_copies_of(80) + others), 3, 80).collect()
+    assert {r.component_id for r in rows if r.doc_id < 80} == {0}
+    assert all(r.component_id == r.doc_id for r in rows if r.doc_id >= 80)
+    assert sum(checked) <= 3 * 80  # a row for each segment of each copy before
 
 
 def test_tiles_are_never_broadcast(spark, monkeypatch):
