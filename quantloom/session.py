@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+RELEASE_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -88,13 +91,26 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark remove the shuffle files of what is run inside as soon as it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(RELEASE_KEY, None)
+    spark.conf.set(RELEASE_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(RELEASE_KEY) if before is None else spark.conf.set(RELEASE_KEY, before)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write `df` once and read it back.
 
     Several later passes then share one computation, a lost executor costs a re-read and not a re-run, and Spark
-    knows the real size, so that its own threshold decides whether a join side is broadcast.
+    knows the real size, so that its own threshold decides whether a join side is broadcast. The shuffle files of the
+    write are removed with its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with released_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
