@@ -18,7 +18,8 @@ the same or the next band, and each band has its own H.
    Each chunk by itself, with its group's least class, is one piece of work; that joins a large group of copies in linear
    work. A class first goes to one group only, that of the least class it meets, and to its other groups where their
    members don't hang together yet. Only the groups that still don't take the second index, or every pair of their chunks. First only short histograms of the sets are sent: two sets differ in at
-   least as many elements as their histograms do, so members without any partner within reach drop out. For the rest
+   least as many elements as their histograms do, so members without any partner within reach drop out, and so do those whose
+   partners within reach are all joined to them already. For the rest
    a task multiplies incidence matrices of the sets and keeps the exact links, as a spanning forest. Pairs are never
    written as rows.
 5. *Components* of the links give each document the smallest doc_id it can reach.
@@ -310,22 +311,22 @@ def pieces_of(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[t
         yield current, nodes, values
 
 
-def within_reach(sizes: np.ndarray, histograms: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets have any partner whose size and histogram allow a link."""
+def within_reach(sizes: np.ndarray, histograms: np.ndarray, roots: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have any partner of another root whose size and histogram allow a link."""
     n = len(sizes)
     reached = np.zeros(n, dtype=bool)
     for i in range(n - 1):
         differ = np.abs(histograms[i + 1 :] - histograms[i]).sum(axis=1)
         both = sizes[i + 1 :] + sizes[i]
         # Of d differing elements among `both`, (both - d) / 2 are common to the (both + d) / 2 of the union.
-        near = 100 * (both - differ) >= percent * (both + differ)
+        near = (100 * (both - differ) >= percent * (both + differ)) & (roots[i + 1 :] != roots[i])
         reached[i] |= near.any()
         reached[i + 1 :] |= near
     return reached
 
 
 def prune_groups(percent: int):
-    """For `mapInArrow` over rows sorted by (hub, a, b): the members that have a partner within reach."""
+    """For `mapInArrow` over rows sorted by (hub, a, b): the members that have a partner within reach to which they aren't joined yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
@@ -334,8 +335,8 @@ def prune_groups(percent: int):
             if piece:
                 key, nodes, values = piece
                 sketches = np.stack(values)
-                sizes = sketches[:, BUCKETS:].copy().view(">i8")[:, 0]
-                reached = within_reach(sizes, sketches[:, :BUCKETS].astype(np.int64), percent)
+                sizes, roots = sketches[:, BUCKETS:].copy().view(">i8").T
+                reached = within_reach(sizes, sketches[:, :BUCKETS].astype(np.int64), roots, percent)
                 kept += [(*key, nodes[i]) for i in np.flatnonzero(reached)]
             elif kept:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], schema=schema)
@@ -458,9 +459,14 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
         chunks = sized.groupBy("hub").agg(chunk_count().alias("chunks"))
         return sized.join(chunks, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "chunks")
 
-    def checked(pieces: DataFrame) -> DataFrame:
-        """The links in pieces given as (hub, a, b, node)."""
-        sketched = pieces.join(facts.hint("merge"), "node").select(*key, "node", F.concat("histogram", F.unhex(F.lpad(F.hex("n"), 16, "0"))).alias("sketch"))
+    def eight_bytes(number: str) -> Column:
+        return F.unhex(F.lpad(F.hex(number), 16, "0"))
+
+    def checked(pieces: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        """The links in pieces given as (hub, a, b, node), between classes that `roots` doesn't join."""
+        sketched = pieces.join(facts.hint("merge"), "node")
+        sketched = sketched.withColumn("root", F.col("node")) if roots is None else rooted(sketched, roots)
+        sketched = sketched.select(*key, "node", F.concat("histogram", eight_bytes("n"), eight_bytes("root")).alias("sketch"))
         near = materialize(
             sketched.repartition(parts, *key).sortWithinPartitions(*key, "node").mapInArrow(freed(prune_groups(percent)), "hub long, a long, b long, node long"), "near"
         )
@@ -472,9 +478,8 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
         rows = placed.select("hub", F.col("chunk").alias("a"), F.col("chunk").alias("b"), "node")
         return rows.union(rows.select("hub", "a", "b", F.col("hub").alias("node")).distinct()).distinct()
 
-    def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-        joined_by = materialize(components(links), "joined")
-        return rows.join(joined_by.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     # Near copies share a key in nearly every segment, each with a least class of its own; one such group joins most of them.
     sized = members.select("node", "n", "hub").distinct()
@@ -484,11 +489,13 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     apart = F.min("root") < F.max("root")
     # A group that was checked whole, in one piece, has no more links to find.
     whole = F.bool_and(F.col("is_own") | (F.col("node") == F.col("hub"))) & (chunk_count() == 1)
-    left = rooted(owned, own_links).groupBy("hub").agg(apart.alias("apart"), whole.alias("whole")).where("apart and not whole").select("hub")
+    own_roots = materialize(components(own_links), "joined")
+    left = rooted(owned, own_roots).groupBy("hub").agg(apart.alias("apart"), whole.alias("whole")).where("apart and not whole").select("hub")
     placed = materialize(chunked(owned.select("node", "n", "hub").join(left, "hub")), "placed")
-    first_links = own_links.union(checked(alone(placed)))
+    first_links = own_links.union(checked(alone(placed), own_roots))
+    first_roots = materialize(components(first_links), "joined")
     # Groups of several chunks that don't hang together yet.
-    apart = materialize(rooted(placed.where("chunks > 1"), first_links).groupBy("hub").agg(apart.alias("apart")).where("apart").select("hub"), "apart")
+    apart = materialize(rooted(placed.where("chunks > 1"), first_roots).groupBy("hub").agg(apart.alias("apart")).where("apart").select("hub"), "apart")
     open_members = materialize(members.join(apart, "hub").select("node", "n", "hub", "crowded").distinct(), "open")
     second = materialize(
         sets_of(open_members.where("crowded").select("node")).mapInArrow(freed(crowded_rows(percent)), "node long, key long, exact boolean"), "deleted"
@@ -507,7 +514,7 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     paired = chunked(groups).withColumn("other", F.explode(others)).select(
         "hub", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node"
     )
-    links = first_links.union(checked(paired))
+    links = first_links.union(checked(paired, first_roots))
     roots = components(links)
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # NULL is the greatest here, so that a class with an id comes before those without.

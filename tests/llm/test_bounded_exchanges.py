@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from quantloom.llm import jaccard, neighbours
 
@@ -36,6 +37,15 @@ def test_near_copies_go_to_one_group_first(spark, documents, monkeypatch):
     assert sum(checked) <= 3 * 80  # a row for each segment of each copy before
 
 
+def test_only_members_with_a_partner_of_another_root_are_checked():
+    histogram = np.ones(jaccard.BUCKETS, np.uint8).tobytes()
+    roots = {1: 1, 2: 1, 3: 1, 4: -4, 11: 11, 12: 11}  # 4 may join 1, 2 and 3; 11 and 12 hang together
+    rows = [(9 if node > 10 else 8, 0, 0, node, histogram + int(128).to_bytes(8) + root.to_bytes(8, signed=True)) for node, root in sorted(roots.items())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["hub", "a", "b", "node", "sketch"])
+    kept = [tuple(r.values()) for found in jaccard.prune_groups(80)(iter([batch])) for r in found.to_pylist()]
+    assert sorted(kept) == [(8, 0, 0, 1), (8, 0, 0, 2), (8, 0, 0, 3), (8, 0, 0, 4)]
+
+
 def test_tiles_are_never_broadcast(spark, monkeypatch):
     draw = np.random.Generator(np.random.PCG64(3))
     vectors = draw.normal(size=(500, 8)).astype(np.float32)
