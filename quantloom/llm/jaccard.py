@@ -29,15 +29,16 @@ Python runs in Arrow batches over numpy arrays; Spark partitions, groups, joins
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from .graph import components
 from .words import find_words, freed, list_array, mix64, shingle_sets, text_slices
 
@@ -55,6 +56,12 @@ CHUNK_CLASSES = 1024
 BUCKETS = 128
 #: Vocabulary columns multiplied at a time.
 COLUMNS = 2048
+#: Rounds in which keys, and groups to check, are exchanged where they are many: the files of a round are removed with its end.
+KEY_ROUNDS = 2
+CHECK_ROUNDS = 3
+#: Shingles, and members to check, from which on they are many.
+MANY_SHINGLES = 5_000_000
+MANY_MEMBERS = 10_000
 #: Bytes of text whose sets are made at once.
 PART_BYTES = 1 << 20
 
@@ -389,6 +396,17 @@ def filtered_scan(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def in_rounds(rounds: int, written: Callable[[int], DataFrame], name: str, distinct: bool = False) -> DataFrame:
+    """The union of the tables that `written` returns for each round, as one table."""
+    tables = [written(number) for number in range(rounds)]
+    if rounds == 1:
+        return tables[0]
+    whole = reduce(DataFrame.union, tables)
+    joined = materialize(whole.distinct() if distinct else whole, name)
+    release(*tables)
+    return joined
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `docs` as (doc_id, n_shingles, component_id); partners have a Jaccard likeness of `percent` % or more.
 
@@ -436,18 +454,28 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
             # Only rows of one id and one text have one key, and of those one text goes on.
             texts = given.select("text_key", "text").join(keys.hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.any_value("text").alias("text"))
             named = wanted.join(texts.hint("merge"), "text_key").select("node", "text")
-            return materialize(named.mapInArrow(freed(set_rows(size)), "node long, elements array<long>"), "sets")
+            found = materialize(named.mapInArrow(freed(set_rows(size)), "node long, elements array<long>"), "sets")
+        release(wanted)
+        return found
+
+    shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    key_rounds = KEY_ROUNDS if shingles >= MANY_SHINGLES else 1
+
+    def members_of(number: int) -> DataFrame:
+        """Classes that share a key of this round."""
+        # One exchange serves the counts by key and the rows they are joined to.
+        signatures = (
+            given.select("text").mapInArrow(freed(index_sets(size, percent)), "node long, n long, keys array<long>")
+            .select("node", "n", F.explode("keys").alias("key")).where("key is not null and n is not null")
+            .where(F.pmod("key", F.lit(key_rounds)) == number).repartition(parts, "key")
+        )
+        met = (
+            signatures.groupBy("key").agg(F.count("*").alias("f"), F.min("node").alias("hub"), F.max("node").alias("last"), F.max("n").alias("most"))
+            .where("hub < last").select("key", "hub", "most", (F.col("f") - 1 > 2 * F.col("most")).alias("crowded"))
+        )
+        return materialize(signatures.join(met, "key").where("n <= most").select("node", "n", "hub", "crowded").distinct(), "members")
 
-    # One exchange serves the counts by key and the rows they are joined to.
-    signatures = (
-        given.select("text").mapInArrow(freed(index_sets(size, percent)), "node long, n long, keys array<long>")
-        .select("node", "n", F.explode("keys").alias("key")).where("key is not null and n is not null").repartition(parts, "key")
-    )
-    met = (
-        signatures.groupBy("key").agg(F.count("*").alias("f"), F.min("node").alias("hub"), F.max("node").alias("last"), F.max("n").alias("most"))
-        .where("hub < last").select("key", "hub", "most", (F.col("f") - 1 > 2 * F.col("most")).alias("crowded"))
-    )
-    members = materialize(signatures.join(met, "key").where("n <= most").select("node", "n", "hub", "crowded").distinct(), "members")
+    members = in_rounds(key_rounds, members_of, "members", distinct=True)
     key = ["hub", "a", "b"]
     facts = classes.select("node", "n", "histogram")
 
@@ -470,8 +498,19 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
         near = materialize(
             sketched.repartition(parts, *key).sortWithinPartitions(*key, "node").mapInArrow(freed(prune_groups(percent)), "hub long, a long, b long, node long"), "near"
         )
-        full = near.join(sets_of(near.select("node")).hint("merge"), "node").repartition(parts, *key).sortWithinPartitions(*key, "node")
-        return materialize(full.mapInArrow(freed(check_groups(percent)), "a long, b long"), "links")
+        rounds = CHECK_ROUNDS if near.count() >= MANY_MEMBERS else 1
+
+        def links_of(number: int) -> DataFrame:
+            some = near.where(F.pmod(F.xxhash64("hub"), F.lit(rounds)) == number)
+            sets = sets_of(some.select("node"))
+            full = some.join(sets.hint("merge"), "node").repartition(parts, *key).sortWithinPartitions(*key, "node")
+            links = materialize(full.mapInArrow(freed(check_groups(percent)), "a long, b long"), "links")
+            release(sets)
+            return links
+
+        links = in_rounds(rounds, links_of, "links")
+        release(near)
+        return links
 
     def alone(placed: DataFrame) -> DataFrame:
         """Each chunk by itself, with its group's least class: linear work, and enough for all but few large groups."""
@@ -497,9 +536,9 @@ def near_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, i
     # Groups of several chunks that don't hang together yet.
     apart = materialize(rooted(placed.where("chunks > 1"), first_roots).groupBy("hub").agg(apart.alias("apart")).where("apart").select("hub"), "apart")
     open_members = materialize(members.join(apart, "hub").select("node", "n", "hub", "crowded").distinct(), "open")
-    second = materialize(
-        sets_of(open_members.where("crowded").select("node")).mapInArrow(freed(crowded_rows(percent)), "node long, key long, exact boolean"), "deleted"
-    )
+    open_sets = sets_of(open_members.where("crowded").select("node"))
+    second = materialize(open_sets.mapInArrow(freed(crowded_rows(percent)), "node long, key long, exact boolean"), "deleted")
+    release(open_sets)
     meeting = (
         second.groupBy("key").agg(F.max("exact").alias("exact"), F.min("node").alias("hub"), F.max("node").alias("last"))
         .where("exact and hub < last").select("key", "hub")

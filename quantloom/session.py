@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,7 @@ SQL_SETTINGS = {
 }
 
 _local_dirs: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def build_session(app: str = "quantloom", cpus: int | str = "*", memory: str = "12g", **extra: str) -> SparkSession:
@@ -113,4 +115,13 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = scratch_path(spark, name)
     with released_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables returned by `materialize`, when all that is computed from them has been written."""
+    for table in tables:
+        where, files = _file_system(table.sparkSession, _written.pop(table))
+        files.delete(where, True)
